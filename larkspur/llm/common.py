@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,3 +64,29 @@ def let(value: Column, body) -> Column:
 def only(df: DataFrame, **columns) -> DataFrame:
     """The named inputs alone, under names of ours: extra columns, whatever their names, go."""
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Gives this package to the executors' Python, once per application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    at = os.path.join(tempfile.mkdtemp(prefix="larkspur-"), "larkspur_package.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for folder, _, names in os.walk(top):
+            for name in names:
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(top)))
+    sc.addPyFile(at)
+    _shipped.add(sc.applicationId)
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(), with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)

@@ -29,13 +29,13 @@ from larkspur.llm.common import let, only, stash, table, words
 UNIT = 1024
 #: Least standard deviations of the transformed statistics: log word length, and log shares
 #: in per cent of symbols, repeated lines and repeated words.
-FLOOR = (0.06, 0.6, 0.6, 0.6)
+FLOOR = (0.06, 0.5, 0.9, 0.9)
 #: 0.9999 quantile of chi-square with 4 degrees of freedom.
 CUTOFF = 23.513
 COVERAGE = 0.75
 STEPS = 4
 #: Words, word characters, lines that steady the ratios of short texts.
-STEADY_WORDS, STEADY_CHARS, STEADY_LINES = 100, 50, 10
+STEADY_WORDS, STEADY_CHARS, STEADY_LINES = 100, 100, 10
 
 
 def repeated_words(ws: Column, k: int = 5) -> Column:
