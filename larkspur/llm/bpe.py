@@ -87,9 +87,11 @@ class Codec:
 
     def _encoded(self, parts: list[str], before: str) -> list[bytes]:
         """The ids of parts that stand after a space or a line break, many in one string."""
+        if not parts:
+            return []
         runs = [before + before.join(parts[i : i + RUN]) for i in range(0, len(parts), RUN)]
         ids = [np.array(e.ids, np.int32) for e in self._tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
-        ids = np.concatenate(ids) if ids else np.empty(0, np.int32)
+        ids = np.concatenate(ids)
         ends = np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)) + len(before))
         ends = 4 * (np.searchsorted(np.cumsum(self.lengths[ids]), ends) + 1)
         data, starts = ids.tobytes(), [0, *ends[:-1].tolist()]
