@@ -28,7 +28,7 @@ def source_targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5
     Sources in code-point order take the weights in turn. share times all sizes is dealt out
     by weight; what exceeds most times a source's size is dealt anew to the others. With
     caps c and weights w the result is min(c, level * w): sorted by c / w, the level is that
-    of the first source that its share doesn't fill.
+    of the first source that its share doesn't fill, and the greatest of those there are.
     """
     total = sizes.groupBy("source").agg(F.sum("size").cast("long").alias("source_size"))
     # One row per source from here on, not per document.
@@ -42,7 +42,7 @@ def source_targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5
     level = (
         capped.withColumn("budget", F.sum("source_size").over(every) * F.lit(share))
         .withColumn("level", (F.col("budget") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("w").over(rest))
-        .withColumn("at", F.min(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(every))
+        .withColumn("at", F.max(F.when(F.col("level") <= F.col("fill"), F.col("level"))).over(every))
     )
     return level.select("source", "source_size", F.when(F.col("at").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("at") * F.col("w"))).alias("target"))
 
@@ -99,7 +99,7 @@ w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST)
 c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / w AS fill, (SELECT sum(size) FROM d)::DOUBLE * 1.5::DOUBLE AS budget FROM w),
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(w) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
-t AS (SELECT source, source_size, least(cap, coalesce((SELECT min(level) FROM l WHERE level <= fill) * w, cap)) AS target FROM l),
+t AS (SELECT source, source_size, least(cap, coalesce((SELECT max(level) FROM l WHERE level <= fill) * w, cap)) AS target FROM l),
 r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
         ('0x' || substr(sha256('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
