@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
-from functools import reduce
 from typing import Any
 
 
@@ -176,7 +175,7 @@ def as_filter(x: Filter | Mapping | None) -> Filter:
         return TRUE
     if is_filter(x):
         return x
-    return reduce(and_, (eq(k, v) for k, v in x.items()), TRUE)
+    return and_(*(eq(k, v) for k, v in x.items()))
 
 
 def merge(a: Filter | Mapping | None, b: Filter | Mapping | None) -> Filter:

@@ -6,11 +6,10 @@ that the filter compiler fits to the column's type.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from urllib.parse import parse_qsl
 
-import re
-
 from larkspur.errors import LarkspurError
 from larkspur.plans import filters as f
 
@@ -36,7 +35,7 @@ class ParsedQuery:
 
 
 def parse_url(query: str) -> ParsedQuery:
-    out = ParsedQuery()
+    out, nodes = ParsedQuery(), []
     for key, value in parse_qsl(query.partition("?")[2] or query, keep_blank_values=True):
         if key in RESERVED:
             if key in ("page", "limit"):
@@ -49,5 +48,6 @@ def parse_url(query: str) -> ParsedQuery:
         m = _KEY.match(key)
         if not m or (m[2] or "eq") not in _OPS:
             raise LarkspurError(f"can't read the parameter {key!r}")
-        out.filter = f.and_(out.filter, _OPS[m[2] or "eq"](m[1], value))
+        nodes.append(_OPS[m[2] or "eq"](m[1], value))
+    out.filter = f.and_(*nodes)
     return out
