@@ -67,7 +67,11 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
 
 
 class WarcError(ValueError):
-    pass
+    """A record or archive that breaks the format's rules."""
+
+
+class CutError(WarcError):
+    """The archive ends within a member."""
 
 
 def members(stream: BinaryIO, block: int = BLOCK) -> Iterator[Callable[[int], bytes]]:
@@ -89,7 +93,7 @@ def members(stream: BinaryIO, block: int = BLOCK) -> Iterator[Callable[[int], by
                 if out or z.eof:
                     return out
                 if not rest and not (rest := stream.read(block)):
-                    raise WarcError("the archive ends within a member")
+                    raise CutError("the archive ends within a member")
             return b""
 
         yield inflate
@@ -150,13 +154,14 @@ def read_records(stream: BinaryIO, strict: bool = True, block: int = BLOCK) -> I
         for inflate in members(stream, block):
             try:
                 yield _read_record(inflate, block)
-            except (WarcError, KeyError, ValueError) as e:
-                if strict:
-                    raise
+            except (KeyError, ValueError, StopIteration) as e:
+                if strict or isinstance(e, CutError):
+                    raise WarcError(str(e)) from e
                 yield dict.fromkeys(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")) | {"error": str(e)}
-    except zlib.error as e:
+    except (zlib.error, WarcError) as e:
         if strict:
             raise WarcError(str(e)) from e
+        # The rest can't be framed.
         yield dict.fromkeys(("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")) | {"error": str(e)}
 
 
