@@ -15,8 +15,9 @@ a band key's group no all-pairs join is made:
    its groups; the verified links give components.
 2. Members of a group that are in different components, and neither the hub, may still be
    linked. A member of whose shingles more than a share of 1 - threshold are its own alone
-   can't be; nor can a pair whose sizes and shares of own shingles exclude it. What remains
-   is paired by key, estimated and verified. Nothing is capped.
+   can't be. The others, with all that they share open groups with, form clusters; a cluster
+   is dealt into blocks, and two blocks at a time are compared on full sets, by an inverted
+   index. Only links come out, one of a member to a component. Nothing is capped.
 
 Links are all pairs at or above the threshold that share a band key: at 32 bands of five
 registers a pair at 0.85 is missed with a chance of 7e-9, at 0.8 of 3e-6.
@@ -51,8 +52,9 @@ _MUL = np.array([_rnd.getrandbits(64) | 1 for _ in range(REGISTERS)], np.uint64)
 _ADD = np.array([_rnd.getrandbits(64) for _ in range(REGISTERS)], np.uint64)
 #: Standard deviations below the threshold at which an estimate still is verified.
 SIGMAS = 5
+#: Members of a cluster that are compared with as many others in one task.
+BLOCK = 400
 SKETCH = "doc_id long, n_shingles long, digest binary, registers binary"
-MOST_ROUNDS = 40
 
 
 # ---------------------------------------------------------------- sets and sketches
@@ -201,21 +203,33 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     return map_arrow(both, run, "a long, b long")
 
 
-def lonely(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(rep, own): how many of its shingles no other of the texts of ids (id) has."""
-    parts = shuffle_parts(docs.sparkSession)
+def hashed_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """(rep, hashes): the full sets of the texts of ids (id)."""
     texts = texts_of(docs, ids).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
 
-    def deal(batches):
+    def run(batches):
         for batch in batches:
-            for part in pieces(batch, most=8 << 20):
+            for part in pieces(batch):
                 h, first = shingle_sets(part.column("text"), k)
-                rep = np.repeat(np.asarray(part.column("doc_id")), np.diff(first))
-                b = (h % np.uint64(parts)).astype(np.int64)
-                order = np.argsort(b, kind="stable")
-                cuts = np.searchsorted(b[order], np.arange(parts + 1))
-                rows = [(i, h[order[x:y]].tobytes(), rep[order[x:y]].tobytes()) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)] if rows else [pa.array([], t) for t in (pa.int32(), pa.binary(), pa.binary())], ["bucket", "hashes", "reps"])
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([h[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["rep", "hashes"])
+
+    return map_arrow(texts, run, "rep long, hashes binary")
+
+
+def lonely(sets: DataFrame) -> DataFrame:
+    """(rep, own) of sets (rep, hashes): how many of its shingles no other of the sets has."""
+    parts = shuffle_parts(sets.sparkSession)
+
+    def deal(batches):
+        for batch in batches:
+            hashes = [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
+            h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
+            rep = np.repeat(np.asarray(batch.column("rep")), [len(x) for x in hashes])
+            b = (h % np.uint64(parts)).astype(np.int64)
+            order = np.argsort(b, kind="stable")
+            cuts = np.searchsorted(b[order], np.arange(parts + 1))
+            rows = [(i, h[order[x:y]].tobytes(), rep[order[x:y]].tobytes()) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
+            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "hashes", "reps"])
 
     def count(key, t):
         h, rep = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("hashes", np.uint64), ("reps", np.int64)))
@@ -223,10 +237,51 @@ def lonely(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
         reps, own = np.unique(rep[at[n == 1]], return_counts=True)
         return pa.table({"rep": pa.array(reps, pa.int64()), "own": pa.array(own, pa.int64())})
 
-    dealt = map_arrow(texts, deal, "bucket int, hashes binary, reps binary")
+    dealt = map_arrow(sets, deal, "bucket int, hashes binary, reps binary")
     return dealt.groupBy("bucket").applyInArrow(count, "rep long, own long").groupBy("rep").agg(F.sum("own").alias("own"))
 
 
+def _overlaps(mine: list[np.ndarray], others: list[np.ndarray]):
+    """For each of mine, the sizes of its intersections with all others, by an inverted index."""
+    h = np.concatenate(others)
+    doc = np.repeat(np.arange(len(others)), [len(x) for x in others])
+    order = np.argsort(h, kind="stable")
+    doc = doc[order]
+    keys, begin, count = np.unique(h[order], return_index=True, return_counts=True)
+    for x in mine:
+        at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+        at = at[keys[at] == x]
+        n = count[at]
+        run = np.arange(n.sum()) + np.repeat(begin[at] - (np.cumsum(n) - n), n)
+        yield np.bincount(doc[run], minlength=len(others))
+
+
+def linked_across(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between different labels of members (cluster, rep, label, hashes), on full sets.
+
+    A cluster is dealt into blocks of about BLOCK members; a task compares two blocks, and emits
+    one link at most of each member to each label."""
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    dealt = members.join(sizes.select("cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "cluster")
+    dealt = dealt.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("cluster", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"), "b", "rep", "label", "hashes")
+
+    def run(key, t):
+        b, rep, label = (np.asarray(t.column(c)) for c in ("b", "rep", "label"))
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        n = np.array([len(x) for x in sets])
+        left, right = np.flatnonzero(b == key[1].as_py()), np.flatnonzero(b == key[2].as_py())
+        out = []
+        if len(left) and len(right) and len({*label.tolist()}) > 1:
+            for x, shared in zip(left, _overlaps([sets[i] for i in left], [sets[i] for i in right]), strict=True):
+                near = right[(100 * shared >= percent * (n[x] + n[right] - shared)) & (label[right] != label[x])]
+                _, one = np.unique(label[near], return_index=True)
+                out += [(min(rep[x], rep[y]), max(rep[x], rep[y])) for y in near[one]]
+        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
+
+    return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
+
+
 # ---------------------------------------------------------------- components
 
 
@@ -265,22 +320,27 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
     found = stash(verified(stash(promising(star, classes, percent), "near-pairs"), docs, k, percent), "near-links")
     # What stars leave open: two members of a group, neither its hub, in different components.
     open_rows = _labelled(busy.where("n > 2").join(hubs, "key").where("rep <> hub").select("key", "rep"), components(found))
-    spread = open_rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    open_rows = stash(open_rows.join(spread, "key", "left_semi"), "near-open")
+    open_rows = stash(_open(open_rows), "near-open")
     if open_rows.isEmpty():
         return found
     ids = stash(open_rows.select(F.col("rep").alias("id")).distinct(), "near-open-ids")
-    own = lonely(ids, docs, k)
-    sized = classes.select("rep", "n_shingles").join(ids.withColumnRenamed("id", "rep"), "rep", "left_semi").join(own, "rep", "left")
-    sized = sized.select("rep", F.col("n_shingles").alias("n"), (F.col("n_shingles") - F.coalesce("own", F.lit(0))).alias("common")).where(f"100 * common >= {percent} * n")
-    rows = stash(open_rows.join(sized, "rep"), "near-open-sized")
-    x, y = (rows.select("key", *[F.col(c).alias(f"{c}{i}") for c in ("rep", "label", "n", "common")]) for i in (1, 2))
-    shared = "least(common1, common2)"
-    pairs = x.join(y, "key").where(f"label1 < label2 AND 100 * {shared} >= {percent} * (n1 + n2 - {shared})").select(*ordered("rep1", "rep2")).distinct()
-    more = verified(stash(promising(pairs, classes, percent), "near-pairs"), docs, k, percent)
+    sets = stash(hashed_sets(ids, docs, k), "near-sets")
+    size = F.octet_length("hashes") / 8
+    able = sets.join(lonely(sets), "rep", "left").where(100 * (size - F.coalesce("own", F.lit(0))) >= percent * size).select("rep", "hashes")
+    rows = stash(_open(open_rows.join(able.select("rep"), "rep", "left_semi")), "near-able")
+    first = rows.groupBy("key").agg(F.min("rep").alias("a"))
+    clusters = components(rows.join(first, "key").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
+    members = rows.select("rep", "label").distinct().join(clusters.select(F.col("id").alias("rep"), F.col("label").alias("cluster")), "rep").join(able, "rep")
+    more = linked_across(members, percent)
     return found.unionByName(stash(more, "near-links"))
 
 
+def _open(rows: DataFrame) -> DataFrame:
+    """Of rows (key, rep, label), those of keys with more than one label."""
+    spread = rows.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
+    return rows.join(spread, "key", "left_semi")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) as rows (doc_id, n_shingles, component_id, kept)."""
     docs = only(docs, doc_id="doc_id", text="text")
