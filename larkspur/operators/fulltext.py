@@ -149,7 +149,12 @@ def _phrase(words: list[str], prefix: bool, toks: Column) -> Column:
 
 def token_table(df: DataFrame, pk: str, columns: Sequence[str], kind: str = "words") -> DataFrame:
     """(pk, one token array per column): what a stored index holds."""
-    return df.select(pk, *[tokens(F.col(c).cast("string"), kind).alias(f"_t_{c}") for c in columns])
+    made = [tokens(F.col(c).cast("string"), "words" if kind == "porter" else kind) for c in columns]
+    if kind == "porter":
+        from larkspur.functions.stemming import stemmed
+
+        made = [stemmed(t) for t in made]
+    return df.select(pk, *[t.alias(f"_t_{c}") for t, c in zip(made, columns, strict=True)])
 
 
 def _tokenized(words: Sequence[str], kind: str) -> list[str]:
@@ -164,6 +169,10 @@ def _tokenized(words: Sequence[str], kind: str) -> list[str]:
         elif run:
             out.append(run)
             run = ""
+    if kind == "porter":
+        from larkspur.functions.stemming import stem
+
+        return [stem(w) for w in out]
     return out
 
 

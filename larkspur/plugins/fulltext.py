@@ -17,10 +17,12 @@ class FullText:
     """Tokens are derived from the current rows, so they are always in sync; create_index() stores
     them as a table, <source>_fts, which searches then read until rebuild_index() or a drop."""
 
-    def __init__(self, columns: Sequence[str], tokenizer: str = "words"):
+    def __init__(self, columns: Sequence[str], tokenizer: str = "words", prefix: Sequence[int] = ()):
         if not columns or not all(map(_NAME.fullmatch, columns)):
             raise LarkspurError("full text needs columns, by plain names")
-        if tokenizer not in ("words", "trigram"):
+        if not all(isinstance(n, int) and 1 <= n <= 99 for n in prefix):
+            raise LarkspurError("prefix lengths go from 1 to 99")
+        if tokenizer not in ("words", "porter", "trigram"):
             raise LarkspurError(f"no tokenizer {tokenizer!r}")
         self.columns, self.tokenizer = list(columns), tokenizer
 

@@ -114,6 +114,18 @@ class Workspace:
             raise ReadOnlyError("this workspace is read-only")
         self.all(sql, params).collect()
 
+    def exec(self, sql: str) -> None:
+        """Runs a script of several statements, without parameters or rows."""
+        from larkspur.migrations import split_statements
+
+        for s in split_statements(sql):
+            self.run(s)
+
+    def close(self) -> None:
+        """Forgets the workspace's tables and cached rows; the session belongs to its maker."""
+        self._staged = None
+        self.tables.clear()
+
     # ------------------------------------------------------------ backup
 
     def backup(self, destination: str) -> dict:

@@ -2,6 +2,7 @@ import pytest
 
 from larkspur.crudschema import crud_schemas
 from larkspur.errors import LarkspurError
+from larkspur.functions.stemming import stem
 from larkspur.plans import filters as f
 from larkspur.plugins import Audit, Cache, Compaction, Expiry, FullText, SoftDelete, Tenancy, Timestamps, Vectors
 from larkspur.repository import Repository
@@ -128,6 +129,16 @@ def test_full_text_ranks(spark):
     assert [x.slug for x in t.search("ell").collect()] == ["a"]
 
 
+def test_porter(spark):
+    words = {"caresses": "caress", "ponies": "poni", "cats": "cat", "agreed": "agre", "plastered": "plaster", "motoring": "motor", "hopping": "hop", "filing": "file", "happy": "happi", "relational": "relat", "conditional": "condit", "vietnamization": "vietnam", "triplicate": "triplic", "hopefulness": "hope", "adjustment": "adjust", "adoption": "adopt", "controlling": "control", "rate": "rate", "sky": "sky", "oscillators": "oscil", "generalizations": "gener"}
+    assert {w: stem(w) for w in words} == words
+    r = posts(spark, ("a", "t", "Running relations"), ("b", "t", "a cat"), plugins=[FullText(["body"], "porter", prefix=(2, 3))])
+    assert [x.slug for x in r.search("relational runs").collect()] == ["a"]
+    for bad in (lambda: FullText(["a"], prefix=(0,)), lambda: FullText([]), lambda: FullText(["a;b"]), lambda: FullText(["a"], "x")):
+        with pytest.raises(LarkspurError):
+            bad()
+
+
 def test_vectors(spark):
     r = posts(spark, *[(s, s, s) for s in "abc"], plugins=[Vectors(4)])
     r.upsert_embeddings([(1, [1, 0, 0, 0]), (2, [0, 1, 0, 0]), (3, [1, 0.1, 0, 0])])
