@@ -189,7 +189,7 @@ def page_offset(spark, sf_dir):
     return repo(spark, sf_dir, "orders").get_all(sort="-o_totalprice", page=10, limit=20).docs.select("o_orderkey", "o_totalprice")
 
 
-@query("SELECT count(*)::BIGINT AS total, ceil(count(*) / 7.0)::BIGINT AS pages, false AS has_next, true AS has_prev, (count(*) - 7 * (ceil(count(*) / 7.0) - 1))::BIGINT AS rows FROM customer WHERE c_nationkey = 4")
+@query("SELECT count(*)::BIGINT AS total, ceil(count(*) / 7.0)::BIGINT AS pages, false AS has_next, count(*) > 7 AS has_prev, (count(*) - 7 * (ceil(count(*) / 7.0) - 1))::BIGINT AS rows FROM customer WHERE c_nationkey = 4")
 def page_last_partial(spark, sf_dir):
     r = repo(spark, sf_dir, "customer")
     pages = r.get_all({"c_nationkey": 4}, limit=7).pages
