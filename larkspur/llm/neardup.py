@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_arrow, only, ship, shuffle_parts, stash, table
+from larkspur.llm.common import map_arrow, only, shuffle_parts, stash, table
 from larkspur.llm.urls import MOST_BITS, _bits, _level
 from larkspur.llm.wordhash import mixed, pieces, window_sums, words_of
 

@@ -31,8 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from larkspur.llm.common import only, ship, shuffle_parts, table, words
+from larkspur.llm.common import only, shuffle_parts, table, words
 from larkspur.llm.wordhash import Words, mixed, pieces, words_of
+from larkspur.sources.shipping import ship
 
 WINDOW = 20
 #: Text bytes of a block and hash bytes of a bucket, both in one task's memory at a time.
