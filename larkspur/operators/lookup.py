@@ -1,8 +1,10 @@
 """Lookups: related rows as a struct (to one) or an array of structs (to many).
 
 The base is filtered, sorted and paged before anything is joined, since lookups neither add
-nor drop base rows. Related rows are filtered and cut to the page's keys first; to-many
-sides are aggregated on their own, so several lookups never multiply each other.
+nor drop base rows. A page's rows, MOST_LIMIT at most, are fetched first, so that its keys
+reach the related tables' scans as a pushed filter. To-many sides are aggregated on their
+own, so several lookups never multiply each other; a to-one side is reduced to its first
+match, unless its key is declared unique.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from larkspur.errors import LarkspurError
-from larkspur.operators.paging import DEFAULT_LIMIT, Page, clamp, offset_frame, offset_page
+from larkspur.operators.paging import Page, offset_frame, offset_page
 from larkspur.plans.compiler import quoted, resolve, sort_keys, where
 
 MOST_LOOKUPS = 10
@@ -81,8 +83,9 @@ def validate(lookups: Sequence[Lookup | Mapping], base: DataFrame) -> list[Looku
     return out
 
 
-def populate(base: DataFrame, lookups: Sequence[Lookup], frame: Callable[[str], DataFrame], reduce_to_base: bool = False) -> DataFrame:
-    """base with a column per lookup. reduce_to_base: base is a page, so only its keys matter."""
+def populate(base: DataFrame, lookups: Sequence[Lookup], frame: Callable[[str], DataFrame], unique: Callable[[str, str], bool] = lambda table, field: False, keys: Sequence[list] | None = None) -> DataFrame:
+    """base with a column per lookup. unique: whether a table's field has one row per value at most;
+    keys: for each lookup the only values that base has."""
     names = base.columns
     local = {f"_l{i}": x.local_field for i, x in enumerate(lookups)}
     out = base.select(*[quoted(c) for c in names], *[quoted(c).alias(k) for k, c in local.items()])
@@ -92,10 +95,10 @@ def populate(base: DataFrame, lookups: Sequence[Lookup], frame: Callable[[str],
         fields = selected(x.select, foreign.columns)
         payload = F.struct(*[quoted(c).alias(c) for c in fields])
         side = foreign.where(quoted(x.foreign_field).isNotNull())
-        if reduce_to_base:
-            side = side.join(base.select(quoted(x.local_field).alias("_k")).distinct(), quoted(x.foreign_field) == F.col("_k"), "left_semi")
+        if keys is not None:
+            side = side.where(quoted(x.foreign_field).isin(keys[i]) if keys[i] else F.lit(False))
         key, made = f"_f{i}", f"_p{i}"
-        if x.single and not x.strict:
+        if x.single and (not x.strict or unique(x.from_, x.foreign_field)):
             side = side.select(quoted(x.foreign_field).alias(key), payload.alias(made))
         elif x.single:
             # The first match by the columns in order: min over structs is one partial aggregation.
@@ -116,25 +119,25 @@ def populate(base: DataFrame, lookups: Sequence[Lookup], frame: Callable[[str],
     return out.select(*[quoted(c) for c in names], *[F.col(f"_p{i}").alias(x.key) for i, x in enumerate(lookups)])
 
 
-def lookup_page(base: DataFrame, lookups: Sequence[Lookup | Mapping], frame: Callable[[str], DataFrame], pk: str, flt: Any = None, sort: Any = None, select: Any = None, page: Any = 1, limit: Any = None, count: str = "exact") -> Page:
+def lookup_page(base: DataFrame, lookups: Sequence[Lookup | Mapping], frame: Callable[[str], DataFrame], pk: str, flt: Any = None, sort: Any = None, select: Any = None, page: Any = 1, limit: Any = None, count: str = "exact", unique: Callable[[str, str], bool] = lambda table, field: False) -> Page:
     specs = validate(lookups, base)
-    rows = where(base, flt)
     keys = sort_keys(sort, pk)
-    paged = offset_page(rows, keys, pk, page, limit, count, least_pages=1)
+    paged = offset_page(where(base, flt), keys, pk, page, limit, count, least_pages=1)
     names = selected(select, base.columns, pk)
     need = [*names, *[x.local_field for x in specs if x.local_field not in names], *[k for k, _ in keys if k not in names]]
-    cut = paged.docs.select(*[quoted(c) for c in dict.fromkeys(need)])
-    out = populate(cut, specs, frame, reduce_to_base=True)
+    rows = paged.docs.select(*[quoted(c) for c in dict.fromkeys(need)])
+    fetched = rows.collect()
+    cut = base.sparkSession.createDataFrame(fetched, rows.schema)
+    values = [sorted({r[x.local_field] for r in fetched if r[x.local_field] is not None}) for x in specs]
+    out = populate(cut, specs, frame, unique, values)
     paged.docs = offset_frame(out, keys, pk, 1, paged.limit).select(*[quoted(c) for c in names], *[quoted(x.key) for x in specs])
     return paged
 
 
-def lookup_frame(base: DataFrame, lookups: Sequence[Lookup | Mapping], frame: Callable[[str], DataFrame], pk: str, flt: Any = None, select: Any = None) -> DataFrame:
+def lookup_frame(base: DataFrame, lookups: Sequence[Lookup | Mapping], frame: Callable[[str], DataFrame], pk: str, flt: Any = None, select: Any = None, unique: Callable[[str, str], bool] = lambda table, field: False) -> DataFrame:
     """All base rows with their lookups, lazily."""
     specs = validate(lookups, base)
     names = selected(select, base.columns, pk)
     rows = where(base, flt).select(*[quoted(c) for c in dict.fromkeys([*names, *[x.local_field for x in specs]])])
-    return populate(rows, specs, frame).select(*[quoted(c) for c in names], *[quoted(x.key) for x in specs])
+    return populate(rows, specs, frame, unique).select(*[quoted(c) for c in names], *[quoted(x.key) for x in specs])
 
-
-__all__ = ["DEFAULT_LIMIT", "Lookup", "clamp", "lookup_frame", "lookup_page", "populate", "selected", "validate"]

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from larkspur.errors import LarkspurError
 from larkspur.operators import fulltext as ft
 from larkspur.operators.paging import clamp
+from larkspur.plans import filters as f
 from larkspur.plans.compiler import where
 
 _NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*")
@@ -49,6 +50,8 @@ class FullText:
             scope = repo._ctx("search", options=options)
             repo.hooks.emit("before:search", scope)
             found = ft.search(token_rows(), repo.id_field, self.columns, query, self.tokenizer)
+            if f.is_true(scope.filter) and stored not in repo.ws.store.names():
+                return found  # derived from the very rows
             # Scope is applied before the best are taken, so that hidden rows take no places.
             return found.join(where(repo.df, scope.filter).select(repo.id_field), repo.id_field, "left_semi")
 

@@ -151,13 +151,17 @@ class Repository:
     def _related(self, name: str) -> DataFrame:
         return self.registry[name] if name in self.registry else self.ws.frame(name)
 
+    def _declared_unique(self, name: str, field: str) -> bool:
+        t = None if name in self.registry else self.ws.tables.get(name)
+        return t is not None and (field == t.pk or (field,) in t.unique)
+
     def lookup_populate(self, lookups: Sequence[Any], filters: Any = None, sort: Any = None, select: Any = None, page: Any = 1, limit: Any = None, count: str = "exact", **options: Any) -> paging.Page:
-        run = lambda c: lk.lookup_page(self.df, lookups, self._related, self.id_field, c.filter, sort, select, page, limit, count)
+        run = lambda c: lk.lookup_page(self.df, lookups, self._related, self.id_field, c.filter, sort, select, page, limit, count, self._declared_unique)
         return self.hooks.around(self._ctx("lookup_populate", filters, options=options | {"lookups": lookups, "sort": sort, "page": page, "limit": limit, "select": select}), run)
 
     def lookup_frame(self, lookups: Sequence[Any], filters: Any = None, select: Any = None, **options: Any) -> DataFrame:
         """All rows with their lookups, lazily."""
-        run = lambda c: lk.lookup_frame(self.df, lookups, self._related, self.id_field, c.filter, select)
+        run = lambda c: lk.lookup_frame(self.df, lookups, self._related, self.id_field, c.filter, select, self._declared_unique)
         return self.hooks.around(self._ctx("lookup_populate", filters, options=options | {"lookups": lookups, "select": select}), run)
 
     def explain(self, flt: Any = None) -> list[dict]:

@@ -6,6 +6,9 @@ from larkspur.operators.lookup import Lookup
 from larkspur.operators.paging import decode_cursor, encode_cursor
 from larkspur.plans import filters as f
 from larkspur.repository import Repository
+from larkspur.sources.store import MemoryStore
+from larkspur.sources.tables import TableDef
+from larkspur.sources.workspace import Workspace
 from tests.fixtures import PEOPLE, user, workspace
 
 
@@ -120,10 +123,16 @@ def test_lookup_refusals(staff):
         r.lookup_populate([Lookup("nowhere", "id", "id")])
 
 
-def test_page_is_cut_before_the_join(staff):
-    r = Repository(staff, "employees")
-    plan = r.lookup_populate([Lookup("departments", "departmentId", "id", single=True)], limit=2).docs._jdf.queryExecution().optimizedPlan().toString()
-    assert plan.rindex("GlobalLimit") > plan.index("Join LeftOuter")
+def test_a_page_s_keys_reach_the_related_scan(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 7 AS d").write.parquet(str(tmp_path / "f"))
+    spark.range(50).selectExpr("id", "concat('d', id) AS name").write.parquet(str(tmp_path / "d"))
+    ws = Workspace(spark, MemoryStore(spark, {n: spark.read.parquet(str(tmp_path / n)) for n in "fd"}))
+    ws.tables |= {n: TableDef.of(n, ws.frame(n), "id") for n in "fd"}
+    p = Repository(ws, "f").lookup_populate([Lookup("d", "d", "id", "dept", single=True)], sort="-id", limit=2)
+    assert [(x["id"], x["dept"]["name"]) for x in p.rows()] == [(999, "d5"), (998, "d4")] and p.total == 1000
+    plan = p.docs._jdf.queryExecution().toString()
+    assert "PushedFilters: [In(id, [4,5]), IsNotNull(id)]" in plan or "In(id, [4,5])" in plan
+    assert "HashAggregate" not in plan  # the key is declared unique
 
 
 def test_prepared_and_explain(people):
