@@ -68,6 +68,10 @@ def test_edits_follow_the_order_of_ids(spark):
     check(spark, [(1, "aa"), (2, "bb")], 4)
 
 
+def test_a_very_long_text(spark):
+    check(spark, [(1, "abcdefghij é " * 150_000), (2, "b"), (3, "c" * 1_500_000)], 3)
+
+
 def test_nulls_ties_and_no_rows(spark):
     df = spark.createDataFrame([(1, None, "", "", 0), (1, "b", "", "", 0), (1, "b", "", "", 0), (2, "", "", "", 0), (None, "x", "", "", 0)], DOCS)
     assert len(chunks.with_edits(df).collect()) == 5

@@ -75,6 +75,11 @@ def test_nulls_ties_and_no_rows(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_very_long_texts(spark):
+    long = " ".join(str(i) for i in range(120_000))
+    compare(spark, [(1, long + " end"), (2, long), (3, "y" * 2_000_000), (4, "no")], 3, 85)
+
+
 def test_components(spark):
     rnd = random.Random(3)
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, x) for x in range(101, 140)] + [(rnd.randrange(200, 230), rnd.randrange(200, 230)) for _ in range(25)]

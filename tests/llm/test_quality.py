@@ -31,6 +31,12 @@ def test_base_statistics(spark):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(t), (i, t)
 
 
+def test_a_very_long_text(spark):
+    text = " ".join(str(i % 90_000) for i in range(100_000)) + "\n" + "z" * 1_000_000
+    r = quality.base_statistics(documents(spark, [text])).first()
+    assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == brute(text)
+
+
 def _words(rnd, n):
     return " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
 

@@ -48,6 +48,10 @@ def test_against_brute_force(spark):
         compare(spark, rows, **options)
 
 
+def test_a_very_long_text(spark):
+    compare(spark, [(1, " ".join(str(i % 70_000) for i in range(150_000))), (2, "x" * 2_000_000 + " y"), (3, "short")])
+
+
 def test_overlapping_repeats_in_one_text(spark):
     compare(spark, [(1, "a b " * 50), (2, "b a " * 50), (3, "a a a b " * 20)])
 
