@@ -33,6 +33,8 @@ FLOOR = (0.06, 0.5, 0.9, 0.9)
 #: 0.9999 quantile of chi-square with 4 degrees of freedom.
 CUTOFF = 23.513
 COVERAGE = 0.75
+#: Up to so many groups the estimates (three rows of some 150 bytes each) are broadcast.
+BROADCAST_GROUPS = 20_000
 STEPS = 4
 #: Words, word characters, lines that steady the ratios of short texts.
 STEADY_WORDS, STEADY_CHARS, STEADY_LINES = 100, 100, 10
@@ -79,11 +81,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def _transformed(stats: DataFrame) -> DataFrame:
+def _transformed(stats: DataFrame, few: bool) -> DataFrame:
     """Adds gkey and the integers q0..q3 (transformed statistics in units of 1/1024)."""
     keyed = stats.withColumn("gkey", F.to_json(F.struct("lang", "source")))
     mean = keyed.where(~F.col("base_failed")).groupBy("gkey").agg((F.sum("word_chars") / F.sum("n_words")).alias("m"))
-    keyed = keyed.join(mean, "gkey", "left").withColumn("m", F.coalesce("m", F.lit(5.0)))
+    keyed = _joined(keyed, mean, ["gkey"], few, "left").withColumn("m", F.coalesce("m", F.lit(5.0)))
     share = lambda a, b: F.log1p(100.0 * a / b)
     x = (
         F.log((F.col("word_chars") + STEADY_WORDS * F.col("m")) / (F.col("n_words") + STEADY_WORDS)),
@@ -135,7 +137,16 @@ def _distance(p: int) -> Column:
     return sum((x * x for x in z), F.lit(0.0))
 
 
-def mcd(rows: DataFrame, floor=FLOOR, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
+def _joined(rows: DataFrame, estimate: DataFrame, on: list[str], few: bool, how: str = "inner") -> DataFrame:
+    """rows with their group's estimate: by broadcast behind a count of the groups, else by key."""
+    return rows.join(F.broadcast(estimate) if few else estimate, on, how)
+
+
+def few_groups(rows: DataFrame) -> bool:
+    return rows.select("gkey").distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
+
+
+def mcd(rows: DataFrame, floor=FLOOR, coverage: float = COVERAGE, steps: int = STEPS, few: bool = False) -> DataFrame:
     """Per gkey of rows (gkey, doc_id, q0..): the estimate of least determinant."""
     p, factor = len(floor), consistency(len(floor), coverage)
     # Starts: all rows, those without symbols and repeats to speak of, a hashed third.
@@ -145,7 +156,7 @@ def mcd(rows: DataFrame, floor=FLOOR, coverage: float = COVERAGE, steps: int = S
     first = dealt.where((F.col("start") == 0) | ((F.col("start") == 1) & plain) | ((F.col("start") == 2) & third))
     estimate = _estimate(first.groupBy("gkey", "start").agg(*_moments(p)), floor, factor)
     for _ in range(steps):
-        binned = dealt.join(estimate, ["gkey", "start"]).withColumn("bin", F.floor(F.log(F.least(F.greatest(_distance(p), F.lit(1e-6)), F.lit(1e6))) * 8).cast("int"))
+        binned = _joined(dealt, estimate, ["gkey", "start"], few).withColumn("bin", F.floor(F.log(F.least(F.greatest(_distance(p), F.lit(1e-6)), F.lit(1e6))) * 8).cast("int"))
         bins = binned.groupBy("gkey", "start", "bin").agg(*_moments(p))
         group = Window.partitionBy("gkey", "start")
         below = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -159,9 +170,10 @@ def mcd(rows: DataFrame, floor=FLOOR, coverage: float = COVERAGE, steps: int = S
 def judge(docs: DataFrame, floor=FLOOR, cutoff: float = CUTOFF, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
     """Base statistics, base_failed, the robust squared distance and kept, for each document."""
     stats = stash(base_statistics(docs).withColumn("base_failed", base_failed()), "quality-statistics")
-    rows = _transformed(stats)
-    estimate = mcd(rows.where(~F.col("base_failed")).select("gkey", "doc_id", *[f"q{j}" for j in range(len(floor))]), floor, coverage, steps)
-    far = rows.join(estimate, "gkey", "left").withColumn("distance2", _distance(len(floor)))
+    few = few_groups(stats.withColumn("gkey", F.to_json(F.struct("lang", "source"))))
+    rows = _transformed(stats, few)
+    estimate = mcd(rows.where(~F.col("base_failed")).select("gkey", "doc_id", *[f"q{j}" for j in range(len(floor))]), floor, coverage, steps, few)
+    far = _joined(rows, estimate, ["gkey"], few, "left").withColumn("distance2", _distance(len(floor)))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("distance2"), F.lit(0.0)) <= cutoff)
     return far.select("doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "base_failed", "distance2", kept.alias("kept"))
 
