@@ -128,31 +128,33 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
-    """docs (doc_id, text) dealt into runs of ids, sorted by id within each, with columns part and
-    halo: the first rows of a run stand at the end of the run before it too, as halo rows, and
-    the first of all after the last. The cuts are ids of the table, a bounded list."""
+    """docs (doc_id, text) dealt into runs of ids, with columns part and halo: the first rows of a
+    run stand at the end of the run before it too, as halo rows, and the first of all after the
+    last. The cuts are ids of the table, `parts` of them at most; a row finds its run by bisection."""
     docs = only(docs, doc_id="doc_id", text="text")
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 10_000).alias("c"), F.min("doc_id").alias("m")).first()
-    cuts, least = sorted({c for c in cuts["c"] or () if c != cuts["m"]}), cuts["m"]
-    at = F.lit(cuts).cast("array<bigint>") if cuts else F.array().cast("array<bigint>")
-    part = F.coalesce(F.size(F.filter(at, lambda c: c <= F.col("doc_id"))), F.lit(0)) if len(cuts) <= 32 else F.coalesce(_rank(cuts), F.lit(0))
-    own = F.struct(part.alias("part"), F.lit(0).alias("halo"))
-    before = F.when(F.array_contains(at, F.col("doc_id")), F.struct((part - 1).alias("part"), F.lit(1).alias("halo")))
-    around = F.when(F.col("doc_id").eqNullSafe(F.lit(least)), F.struct(F.lit(len(cuts)).alias("part"), F.lit(2).alias("halo")))
-    dealt = docs.withColumn("p", F.explode(F.filter(F.array(own, before, around), lambda x: x.isNotNull()))).select("p.part", "p.halo", "doc_id", "text")
-    return dealt
-
-
-def _rank(cuts: list[int]):
-    """How many cuts are at or below doc_id, by bisection."""
-
-    def tree(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(F.col("doc_id") >= F.lit(cuts[mid]), tree(mid + 1, hi)).otherwise(tree(lo, mid))
-
-    return F.when(F.col("doc_id").isNotNull(), tree(0, len(cuts)))
+    found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts)).alias("c"), F.min("doc_id").alias("m")).first()
+    cuts = sorted({c for c in found["c"] or () if c != found["m"]}) if parts > 1 else []
+    at = F.from_json(F.lit(str(cuts)), "array<bigint>")  # one literal, folded when planned
+    part = F.when(F.col("doc_id").isNotNull(), _rank(at, len(cuts))).otherwise(F.lit(0))
+    dealt = docs.withColumn("part", part)
+    own = F.struct("part", F.lit(0).alias("halo"))
+    before = F.when((F.col("part") > 0) & (F.get(at, F.col("part") - 1) == F.col("doc_id")), F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("halo")))
+    around = F.when(F.col("doc_id") == F.lit(found["m"]), F.struct(F.lit(len(cuts)).alias("part"), F.lit(2).alias("halo")))
+    copies = F.filter(F.array(own, before, around), lambda x: x.isNotNull())
+    return dealt.withColumn("p", F.explode(copies)).select("p.part", "p.halo", "doc_id", "text")
+
+
+def _rank(cuts, n: int):
+    """How many of the n sorted cuts are at or below doc_id."""
+
+    def step(a, _):
+        mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        right = F.struct((mid + 1).alias("lo"), a["hi"].alias("hi"))
+        left = F.struct(a["lo"].alias("lo"), mid.alias("hi"))
+        return F.when(a["lo"] >= a["hi"], a).when(F.get(cuts, mid) <= F.col("doc_id"), right).otherwise(left)
+
+    rounds = F.array(*[F.lit(i) for i in range(n.bit_length() + 1)])
+    return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), step, lambda a: a["lo"])
 
 
 def edited(text: str, other: str) -> tuple[str, int]:
