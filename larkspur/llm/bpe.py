@@ -37,7 +37,7 @@ from larkspur.llm.common import map_arrow, only, table
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct parts that a task remembers between batches, and the longest that it remembers.
-MEMO_PARTS, MEMO_CHARS = 600_000, 64
+MEMO_PARTS, MEMO_CHARS = 200_000, 64
 ENDINGS = ".,;:!?*&$%#"
 #: Parts that go through the library in one string.
 RUN = 64
@@ -54,15 +54,43 @@ def byte_characters() -> list[str]:
     return [table[b] for b in range(256)]
 
 
-class Codec:
-    """Encoder and decoder of one rank file."""
+class ByteTable:
+    """The bytes of each id of a rank file: all that decoding and offsets need."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as lines:
+            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+        bytes_of = [b""] * (max(self.ranks.values()) + 1)
+        for t, r in self.ranks.items():
+            bytes_of[r] = t
+        self.lengths = np.array([len(t) for t in bytes_of], np.int64)
+        self._table, self._starts = np.frombuffer(b"".join(bytes_of), np.uint8), np.cumsum(self.lengths) - self.lengths
+
+    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and one past the last code point of each token, by way of its bytes."""
+        data = np.frombuffer(text.encode(), np.uint8)
+        char_of = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32) - 1
+        end = np.cumsum(self.lengths[ids])
+        return char_of[end - self.lengths[ids]], char_of[end - 1] + 1
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The bytes of a run of ids by the byte table, and where those of ids[:end] end."""
+        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.lengths) and self.lengths[ids].all()):
+            raise ValueError("an id that the vocabulary lacks")
+        size = self.lengths[ids]
+        total = np.cumsum(size)
+        at = np.arange(total[-1] if len(ids) else 0) + np.repeat(self._starts[ids] - (total - size), size)
+        return self._table[at].tobytes(), np.concatenate([[0], total])[ends]
+
+
+class Codec(ByteTable):
+    """The encoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        chars = byte_characters()
+        super().__init__(path)
+        ranks, chars = self.ranks, byte_characters()
         told = {t: "".join(chars[b] for b in t) for t in ranks}
         merges = []
         for t in sorted(ranks, key=ranks.get):
@@ -70,12 +98,6 @@ class Codec:
             merges += [(told[a], told[b]) for a, b in sorted(pairs, key=lambda p: (ranks[p[0]], ranks[p[1]]))]
         self._tokenizer = Tokenizer(models.BPE(vocab={told[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self._tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Split(Regex(pattern), "isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
-        size = max(ranks.values()) + 1
-        bytes_of = [b""] * size
-        for t, r in ranks.items():
-            bytes_of[r] = t
-        self.lengths = np.array([len(t) for t in bytes_of], np.int64)
-        self._table, self._starts = np.frombuffer(b"".join(bytes_of), np.uint8), np.cumsum(self.lengths) - self.lengths
         #: Ids, as bytes, of parts after a space and of parts after a line break or at the start.
         self._spaced: dict[str, bytes] = {"": self._one(" ")}
         self._bare: dict[str, bytes] = {"": b""}
@@ -142,22 +164,6 @@ class Codec:
             memo.pop(p, None)
         return out
 
-    def offsets(self, text: str, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and one past the last code point of each token, by way of its bytes."""
-        data = np.frombuffer(text.encode(), np.uint8)
-        char_of = np.cumsum((data & 0xC0) != 0x80, dtype=np.int32) - 1
-        end = np.cumsum(self.lengths[ids])
-        return char_of[end - self.lengths[ids]], char_of[end - 1] + 1
-
-    def decode(self, ids: np.ndarray, ends: np.ndarray) -> tuple[bytes, np.ndarray]:
-        """The bytes of a run of ids by the byte table, and where those of ids[:end] end."""
-        if len(ids) and not (0 <= ids.min() and ids.max() < len(self.lengths) and self.lengths[ids].all()):
-            raise ValueError("an id that the vocabulary lacks")
-        size = self.lengths[ids]
-        total = np.cumsum(size)
-        at = np.arange(total[-1] if len(ids) else 0) + np.repeat(self._starts[ids] - (total - size), size)
-        return self._table[at].tobytes(), np.concatenate([[0], total])[ends]
-
 
 def _parts(text: str) -> list[list[str]]:
     """A text's lines, each cut at spaces. Lines joined by line breaks and their parts by spaces are
@@ -175,12 +181,17 @@ def _codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
+@functools.lru_cache(2)
+def _table(path: str) -> ByteTable:
+    return ByteTable(path)
+
+
 def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     ends = np.cumsum([0, *map(len, rows)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, rows: int = 200) -> DataFrame:
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, rows: int = 400) -> DataFrame:
     """docs (doc_id, text) as (doc_id, ids, starts, ends); path: of the rank file, on every machine."""
     path = path or public_tokenizers.path(RANKS)
 
@@ -197,13 +208,13 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     return map_arrow(only(docs, doc_id="doc_id", text="text"), run, ENCODED)
 
 
-def decode(encoded: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, rows: int = 500) -> DataFrame:
+def decode(encoded: DataFrame, path: str | None = None, rows: int = 500) -> DataFrame:
     """Rows with ids, with the decoded bytes added as decoded."""
     path = path or public_tokenizers.path(RANKS)
     schema = StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(path, pattern)
+        codec = _table(path)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)

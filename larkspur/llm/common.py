@@ -67,7 +67,14 @@ def only(df: DataFrame, **columns) -> DataFrame:
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(k) for k, c in columns.items()])
 
 
+#: Rows of an Arrow batch where the session has Spark's default, which is meant for narrow rows.
+BATCH_ROWS = 1000
+
+
 def map_arrow(df: DataFrame, run, schema) -> DataFrame:
-    """df.mapInArrow(), with this package on the executors."""
+    """df.mapInArrow(), with this package on the executors and batches that suit whole texts."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if conf.get(key) == "10000":
+        conf.set(key, str(BATCH_ROWS))
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
