@@ -191,8 +191,26 @@ def _lists(rows: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, rows: int = 400) -> DataFrame:
-    """docs (doc_id, text) as (doc_id, ids, starts, ends); path: of the rank file, on every machine."""
+def _encoded(codec: Codec, batch: pa.RecordBatch) -> list[pa.Array]:
+    """ids, starts and ends of a batch's texts."""
+    texts = [t or "" for t in batch.column("text").to_pylist()]
+    ids = codec.encode(texts)
+    spans = [codec.offsets(t, i) if len(i) else (i, i) for t, i in zip(texts, ids, strict=True)]
+    return [_lists(ids), _lists([a for a, _ in spans]), _lists([b for _, b in spans])]
+
+
+def _decoded(table: ByteTable, ids: pa.ListArray) -> pa.Array:
+    """The bytes of each list of ids."""
+    lists = ids.fill_null([])
+    ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
+    data, ends = table.decode(lists.flatten().to_numpy(), ends)
+    return pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+
+
+def encode(docs: DataFrame, path: str | None = None, pattern: str = public_tokenizers.PATTERN, rows: int = 400, decoded: bool = False) -> DataFrame:
+    """docs (doc_id, text) as (doc_id, ids, starts, ends); path: of the rank file, on every machine.
+
+    decoded: adds decode()'s bytes of those ids, in the same pass over a batch."""
     path = path or public_tokenizers.path(RANKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,12 +218,11 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                texts = [t or "" for t in batch.column("text").to_pylist()]
-                ids = codec.encode(texts)
-                spans = [codec.offsets(t, i) if len(i) else (i, i) for t, i in zip(texts, ids, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(ids), _lists([a for a, _ in spans]), _lists([b for _, b in spans])], ["doc_id", "ids", "starts", "ends"])
+                made = _encoded(codec, batch)
+                more = [_decoded(codec, made[0])] if decoded else []
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, *more], ["doc_id", "ids", "starts", "ends", *["decoded"] * decoded])
 
-    return map_arrow(only(docs, doc_id="doc_id", text="text"), run, ENCODED)
+    return map_arrow(only(docs, doc_id="doc_id", text="text"), run, ENCODED + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, path: str | None = None, rows: int = 500) -> DataFrame:
@@ -214,15 +231,11 @@ def decode(encoded: DataFrame, path: str | None = None, rows: int = 500) -> Data
     schema = StructType([*encoded.schema.fields, StructField("decoded", BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _table(path)
+        table = _table(path)
         for whole in batches:
             for at in range(0, whole.num_rows, rows):
                 batch = whole.slice(at, rows)
-                lists = batch.column("ids").fill_null([])
-                ends = np.cumsum([0, *lists.value_lengths().to_pylist()])
-                data, ends = codec.decode(lists.flatten().to_numpy(), ends)
-                decoded = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
-                yield pa.RecordBatch.from_arrays([*batch.columns, decoded], [*batch.schema.names, "decoded"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(table, batch.column("ids"))], [*batch.schema.names, "decoded"])
 
     return map_arrow(encoded, run, schema)
 
@@ -234,7 +247,7 @@ def decode_text(decoded):
 
 def digests(docs: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of encode() and decode()."""
-    out = decode(encode(docs, path).select("doc_id", "ids"), path)
+    out = encode(docs, path, decoded=True)
     told = F.concat_ws(",", F.col("ids").cast("array<string>"))
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(told, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))
 

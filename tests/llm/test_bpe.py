@@ -31,6 +31,8 @@ def test_equals_the_library_and_round_trips(spark, reference):
     for i, t in enumerate(all_texts):
         assert got[i].ids == reference.encode_ordinary(t or ""), repr(t)
         assert bytes(got[i].decoded) == (t or "").encode() and got[i].back == (t or "")
+    one = by_id(bpe.encode(documents(spark, all_texts), decoded=True))
+    assert all(one[i].ids == got[i].ids and one[i].decoded == got[i].decoded and one[i].ends == got[i].ends for i in one) and len(one) == len(got)
 
 
 def test_offsets(spark, reference):
