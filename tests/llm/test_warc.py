@@ -64,3 +64,62 @@ def test_round_trip_on_spark(spark, tmp_path):
     assert {i: r.refers_to for i, r in got.items() if r.record_type == "revisit"} == {5: 3, 9: 3, None: 3, 8: 7}
     empty = warc.write_archives(warc.with_revisits(spark.createDataFrame([], PAGES)), f"file://{tmp_path}/b")
     assert warc.read_archives(empty).collect() == []
+
+
+def test_records_have_their_payload():
+    payloads = [b"x" * 500, b"", b"\r\n\r\n" * 200]
+    data = written(*[(i, "u", p) for i, p in enumerate(payloads)], (9, "u", b"x" * 500, 0))
+    for block in (1, 64, 1 << 16):
+        assert [r["payload"] for r in warc.read_records(io.BytesIO(data), block=block)] == [*payloads, None]
+    assert {r["payload"] for r in warc.read_records(io.BytesIO(data), payloads=False)} == {None}
+
+
+def _archives(spark, folder, *archives):
+    for i, data in enumerate(archives):
+        (folder / f"{i}.warc.gz").write_bytes(data)
+    return spark.createDataFrame([(f"file://{folder}/{i}.warc.gz",) for i in range(len(archives))], "path string")
+
+
+def test_payloads_of_responses_and_revisits(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "REVISIT_ROWS", 3)
+    rows = [(i, "u", ("é" * 100 + str(i % 4)) if i % 3 else f"<p>{i}" * 40) for i in range(60)] + [(60, None, None), (None, "u", "é" * 100 + "1"), (1, "again", "other " * 30)]
+    manifest = warc.write_archives(warc.with_revisits(spark.createDataFrame(rows, PAGES)).repartition(3), f"file://{tmp_path}/a", archive_bytes=2000)
+    assert manifest.count() > 3
+    got = warc.read_archives(manifest).collect()
+    assert sorted((r.page_id or -1, bytes(r.payload)) for r in got) == sorted((i or -1, (h or "").encode()) for i, _, h in rows)
+    assert all((r.payload_bytes, r.payload_digest) == (len(r.payload), hashlib.sha256(r.payload).hexdigest()) for r in got)
+    assert sum(r.record_type == "revisit" for r in got) == 37
+    bare = warc.read_archives(manifest, payloads=False).collect()
+    assert {r.payload for r in bare} == {None} and sorted(map(str, (r[:7] for r in bare))) == sorted(map(str, (r[:7] for r in got)))
+
+
+def _told_length(data, was, told):
+    head, http, end = gzip.decompress(data).split(b"\r\n\r\n", 2)
+    block = http + b"\r\n\r\n"
+    other = block.replace(b"Content-Length: %d" % was, b"Content-Length: %d" % told)
+    sha = lambda b: hashlib.sha256(b).hexdigest().encode()
+    return gzip.compress(head.replace(sha(block), sha(other)) + b"\r\n\r\n" + other + end)
+
+
+def test_revisits_are_held_against_their_responses(spark, tmp_path):
+    x, y = b"x" * 200, b"y" * 200
+    bad = {2: warc.record(2, "u", y, 1), 3: warc.record(3, "u", x, 99), 4: _told_length(warc.record(4, "u", x, 1), 200, 201)}
+    good = written((1, "u", x), (6, "u", y))
+    for i, data in bad.items():
+        folder = tmp_path / str(i)
+        folder.mkdir()
+        manifest = _archives(spark, folder, written((5, "u", x, 1)) + data, good)
+        for payloads in (True, False):
+            with pytest.raises(Exception, match="a revisit"):
+                warc.read_archives(manifest, payloads=payloads).collect()
+            got = {r.page_id: r for r in warc.read_archives(manifest, strict=False, payloads=payloads).collect()}
+            assert {*got} == {1, 5, 6, i} and [k for k, r in got.items() if r.error] == [i] and got[i].payload is None
+            assert got[5].payload == (x if payloads else None)
+
+
+def test_archives_are_compressed_once(spark, tmp_path):
+    rows = [(1, "u", "x" * 200), (2, "u", "y" * 200)]
+    manifest = warc.write_archives(warc.with_revisits(spark.createDataFrame(rows, PAGES)).coalesce(1), f"file://{tmp_path}/a")
+    path, size = manifest.select("path", "bytes").first()
+    data = open(path.removeprefix("file://"), "rb").read()
+    assert len(data) == size and sorted(r["page_id"] for r in warc.read_records(io.BytesIO(data))) == [1, 2]
