@@ -129,17 +129,20 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
     """docs (doc_id, text) dealt into runs of ids, with columns part and halo: the first rows of a
-    run stand at the end of the run before it too, as halo rows, and the first of all after the
-    last. The cuts are ids of the table, `parts` of them at most; a row finds its run by bisection."""
+    run stand at the end of the run before it too, as halo rows, and the first of all (null ids are
+    first) after the last. The cuts are ids of the table, `parts` of them at most; a row finds its
+    run by bisection."""
     docs = only(docs, doc_id="doc_id", text="text")
-    found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts)).alias("c"), F.min("doc_id").alias("m")).first()
+    begin = F.coalesce(F.substring("text", 1, 64), F.lit(""))  # tells most texts of null ids from the first
+    found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts)).alias("c"), F.min("doc_id").alias("m"), F.min(F.when(F.col("doc_id").isNull(), begin)).alias("null")).first()
     cuts = sorted({c for c in found["c"] or () if c != found["m"]}) if parts > 1 else []
     at = F.from_json(F.lit(str(cuts)), "array<bigint>")  # one literal, folded when planned
     part = F.when(F.col("doc_id").isNotNull(), _rank(at, len(cuts))).otherwise(F.lit(0))
     dealt = docs.withColumn("part", part)
     own = F.struct("part", F.lit(0).alias("halo"))
     before = F.when((F.col("part") > 0) & (F.get(at, F.col("part") - 1) == F.col("doc_id")), F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("halo")))
-    around = F.when(F.col("doc_id") == F.lit(found["m"]), F.struct(F.lit(len(cuts)).alias("part"), F.lit(2).alias("halo")))
+    first = F.col("doc_id") == F.lit(found["m"]) if found["null"] is None else F.col("doc_id").isNull() & (begin == F.lit(found["null"]))
+    around = F.when(first, F.struct(F.lit(len(cuts)).alias("part"), F.lit(2).alias("halo")))
     copies = F.filter(F.array(own, before, around), lambda x: x.isNotNull())
     return dealt.withColumn("p", F.explode(copies)).select("p.part", "p.halo", "doc_id", "text")
 

@@ -79,3 +79,13 @@ def test_nulls_ties_and_no_rows(spark):
     got = by_id(chunks.fingerprints(documents(spark, ["same", "same", None])))
     assert got[0].fingerprint == got[1].fingerprint != got[2].fingerprint == ""
     assert chunks.containment({}, {}) == 1.0 and chunks.containment({}, {"a": 1}) == 0.0 and chunks.containment({"a": 1}, {}) == 0.0
+
+
+def test_null_ids_come_first_and_follow_the_last(spark):
+    long = "begins alike, for more than sixty-four code points of each of these texts "
+    for rows in ([(None, "alone at last")], [(None, "b" * 90), (None, None), (None, "a")], [(None, long + "b"), (None, long + "a"), (1, "one " * 30), (2, "two " * 30)], [(i, f"{i} " * 50) for i in range(40)] + [(None, "x" * 70)]):
+        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+        want = [(i, hashlib.sha256(chunks.edited(t or "", order[(n + 1) % len(order)][1] or "")[0].encode()).hexdigest()) for n, (i, t) in enumerate(order)]
+        df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(2)
+        for parts in (1, 4):
+            assert sorted(((r.doc_id, r.edited_sha256) for r in chunks.with_edits(df, parts).collect()), key=str) == sorted(want, key=str)
