@@ -20,7 +20,8 @@ a band key's group no all-pairs join is made:
    index. Only links come out, one of a member to a component. Nothing is capped.
 
 Links are all pairs at or above the threshold that share a band key: at 32 bands of five
-registers a pair at 0.85 is missed with a chance of 7e-9, at 0.8 of 3e-6.
+registers a pair at 0.85 is missed with a chance of 7e-9, at 0.8 of 3e-6. A star pair at the
+threshold has an estimate too low to be verified with a chance of 3e-10 at 0.85, 1e-10 at 0.8.
 
 Defined results: null and empty texts have an empty set and are linked with nothing; texts
 with fewer words than a shingle have one shingle, all their words; a null id has a null
@@ -51,7 +52,7 @@ _rnd = random.Random("setsketch")
 _MUL = np.array([_rnd.getrandbits(64) | 1 for _ in range(REGISTERS)], np.uint64)
 _ADD = np.array([_rnd.getrandbits(64) for _ in range(REGISTERS)], np.uint64)
 #: Standard deviations below the threshold at which an estimate still is verified.
-SIGMAS = 5
+SIGMAS = 7
 #: Members of a cluster that are compared with as many others in one task.
 BLOCK = 400
 SKETCH = "doc_id long, n_shingles long, digest binary, registers binary"

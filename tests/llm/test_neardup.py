@@ -1,3 +1,4 @@
+import math
 import random
 
 import numpy as np
@@ -115,3 +116,19 @@ def test_shingle_sets():
     h, first = neardup.shingle_sets(pa.array(["a b c a b c", "A b", "a B", None, "a b c"]), 3)
     got = [h[x:y].tolist() for x, y in zip(first[:-1], first[1:], strict=True)]
     assert [len(x) for x in got] == [3, 1, 1, 0, 1] and got[1] == got[2] and got[4][0] in got[0]
+
+
+def test_estimates_far_below_the_threshold_are_verified(spark):
+    def registers(equal):
+        r = np.full(neardup.REGISTERS, 1000, np.uint16)
+        r[equal:] += np.where(np.arange(neardup.REGISTERS - equal) % 2, 50, -50).astype(np.int16).view(np.uint16)
+        return r.tobytes()
+
+    rows = [(0, 1000, bytearray(registers(neardup.REGISTERS)))] + [(n, 1000, bytearray(registers(n))) for n in (90, 106, 110, 150)]
+    classes = spark.createDataFrame(rows, "rep long, n_shingles long, registers binary")
+    pairs = spark.createDataFrame([(0, n) for n, *_ in rows[1:]], "a long, b long")
+    assert sorted(r.b for r in neardup.promising(pairs, classes, 85).collect()) == [106, 110, 150]
+    for t in (0.8, 0.85):  # the chance of a miss is below that of the bands
+        n, least = neardup.REGISTERS, t - neardup.SIGMAS * math.sqrt(t * (1 - t) / neardup.REGISTERS)
+        missed = sum(math.comb(n, x) * t**x * (1 - t) ** (n - x) for x in range(n + 1) if x / n < least)
+        assert missed < 0.1 * (1 - t**neardup.ROWS) ** neardup.BANDS
