@@ -4,10 +4,16 @@ Quality rules reject documents; of each group of near duplicates one stays; repe
 are cut from the texts; sources are mixed to target weights; the mix is encoded and decoded.
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each to the shared
 folder as Parquet and rereads it.
+
+Defined results: verdicts are of rows. A row whose id is null or another row's too is judged by a
+number of its own, beyond all ids, so that of a group of near duplicates a row with an id of its
+own stays, if there is one, and the smallest such id.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,18 +23,34 @@ from larkspur.llm.common import stash, table
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs but for the rows whose id is among the dropped."""
-    gone = dropped.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti").select(*COLUMNS)
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with _key, which no two rows share: doc_id, or beyond all ids where that is null or repeated."""
+    ids = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg(F.count(F.lit(1)).alias("n"))
+    repeated = stash(ids.where("n > 1").select("_id"), "repeated-ids")
+    if repeated.isEmpty() and docs.where("doc_id IS NULL").isEmpty():
+        return docs.withColumn("_key", F.col("doc_id"))
+    beyond = (docs.agg(F.max("doc_id")).first()[0] or 0) + 1
+    # Rows without an id aren't joined: they would meet in one task.
+    known = docs.where("doc_id IS NOT NULL").join(repeated, F.col("doc_id") == F.col("_id"), "left")
+    rows = known.unionByName(docs.where("doc_id IS NULL").withColumn("_id", F.lit(None).cast("long")))
+    own = F.col("doc_id").isNotNull() & F.col("_id").isNull()
+    key = F.when(own, F.col("doc_id")).otherwise(F.lit(beyond) + F.monotonically_increasing_id())
+    return stash(rows.withColumn("_key", key).drop("_id"), "keyed-documents")
+
+
+def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The rows of docs that judge (rows of doc_id and kept, from documents) keeps."""
+    docs = _keyed(docs)
+    gone = judge(docs.withColumn("doc_id", F.col("_key")).select(*COLUMNS)).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["_key"] == gone["_gone"], "left_anti").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, quality.judge(docs).where("NOT kept"))
+    return _kept(docs, quality.judge)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return _without(docs, neardup.near_duplicates(docs, k=5, percent=80).where("NOT kept"))
+    return _kept(docs, lambda d: neardup.near_duplicates(d, k=5, percent=80))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

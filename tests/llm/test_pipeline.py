@@ -34,3 +34,18 @@ def test_catalogue():
     queries, sql = catalog.queries(), catalog.oracle_sql()
     assert len(queries) == 10 and {*sql} <= {*queries}
     assert sorted(int(q[2:].split("_")[0]) for q in queries) == list(range(1, 11))
+
+
+def test_verdicts_are_of_rows(spark):
+    rnd = random.Random(2)
+    words = lambda n: " ".join("".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(2, 9))) for _ in range(n))
+    shared, single, one, other = (words(100) for _ in range(4))
+    rows = [(i, words(80)) for i in range(40)] + [(None, "short"), (50, "short"), (50, one), (51, single), (51, single), (51, single), (52, one), (52, other), (None, shared), (None, shared), (60, shared), (None, words(90))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(3)
+    docs = common.stash(docs, "t")
+    good = common.stash(corpus_pipeline.quality_rules(spark, docs, ""), "t")
+    key = lambda rs: sorted(((r[0], r[1]) for r in rs), key=str)
+    assert key(good.collect()) == key(r for r in rows if r[1] != "short")
+    left = common.stash(corpus_pipeline.near_dedup(spark, good, ""), "t").collect()
+    assert sorted(r.text for r in left) == sorted({t for _, t in rows} - {"short"})
+    assert [r.doc_id for r in left if r.text == shared] == [60] and {r.doc_id for r in left if r.text == other} == {52}
