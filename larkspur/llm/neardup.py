@@ -13,11 +13,13 @@ a band key's group no all-pairs join is made:
 
 1. Every member is paired with the group's hub, the member with the most company over all
    its groups; the verified links give components.
-2. Members of a group that are in different components, and neither the hub, may still be
-   linked. A member of whose shingles more than a share of 1 - threshold are its own alone
-   can't be. The others, with all that they share open groups with, form clusters; a cluster
-   is dealt into blocks, and two blocks at a time are compared on full sets, by an inverted
-   index. Only links come out, one of a member to a component. Nothing is capped.
+2. Members of a group that are in different components, and neither of them a hub, may still
+   be linked. Such groups get another star, around a member that isn't in the last hub's
+   component, as long as that at least halves them.
+3. Of what is left, members meet by their rarest shingles (an exact prefix filter with bounds
+   by position). Those that could be linked form clusters; a cluster is dealt into blocks, and
+   two blocks at a time are compared on full sets, by an inverted index. Fewer links come out
+   than members go in. Nothing is capped.
 
 Links are all pairs at or above the threshold that share a band key: at 32 bands of five
 registers a pair at 0.85 is missed with a chance of 7e-9, at 0.8 of 3e-6. A star pair at the
@@ -37,12 +39,13 @@ import random
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import map_arrow, only, shuffle_parts, stash, table
 from larkspur.llm.urls import MOST_BITS, _bits, _level
 from larkspur.llm.wordhash import mixed, pieces, window_sums, words_of
+from larkspur.sources.shipping import ship
 
 BANDS, ROWS = 32, 5
 REGISTERS = BANDS * ROWS
@@ -55,6 +58,8 @@ _ADD = np.array([_rnd.getrandbits(64) for _ in range(REGISTERS)], np.uint64)
 SIGMAS = 7
 #: Members of a cluster that are compared with as many others in one task.
 BLOCK = 400
+#: Set bytes of a block of open members and of a bucket of shingles, both in one task's memory.
+SET_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
 SKETCH = "doc_id long, n_shingles long, digest binary, registers binary"
 
 
@@ -217,29 +222,100 @@ def hashed_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
     return map_arrow(texts, run, "rep long, hashes binary")
 
 
-def lonely(sets: DataFrame) -> DataFrame:
-    """(rep, own) of sets (rep, hashes): how many of its shingles no other of the sets has."""
-    parts = shuffle_parts(sets.sparkSession)
+def _packed(columns: dict[str, list], types: dict[str, pa.DataType]) -> pa.Table:
+    return pa.table([pa.array(columns[c], t) for c, t in types.items()], list(types))
 
-    def deal(batches):
-        for batch in batches:
-            hashes = [np.frombuffer(x, np.uint64) for x in batch.column("hashes").to_pylist()]
-            h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-            rep = np.repeat(np.asarray(batch.column("rep")), [len(x) for x in hashes])
-            b = (h % np.uint64(parts)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            cuts = np.searchsorted(b[order], np.arange(parts + 1))
-            rows = [(i, h[order[x:y]].tobytes(), rep[order[x:y]].tobytes()) for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], t) for j, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["bucket", "hashes", "reps"])
 
-    def count(key, t):
-        h, rep = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("hashes", np.uint64), ("reps", np.int64)))
-        _, at, n = np.unique(h, return_index=True, return_counts=True)
-        reps, own = np.unique(rep[at[n == 1]], return_counts=True)
-        return pa.table({"rep": pa.array(reps, pa.int64()), "own": pa.array(own, pa.int64())})
+def _cuts(h: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """The order of hashes by bucket, and (bucket, begin, end) of the buckets that have any."""
+    bucket = (mixed(h) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return order, [(int(i), int(ends[i]), int(ends[i + 1])) for i in np.flatnonzero(np.diff(ends))]
+
+
+_INT, _LONG, _BYTES = pa.int32(), pa.int64(), pa.binary()
+
+
+def prefix_stars(members: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) that span the groups of members (rep, label, hashes) in which a link between
+    different labels can be.
+
+    All shingles stand in one order, the rarest among the members first. Two sets of the
+    similarity asked for share one of the first n - ceil(t n) + 1 shingles of either, and what
+    stands from there on in each is an upper bound of what they share. So members meet by those
+    shingles alone, and one whose bound is too low for any other member there is out. Members are
+    dealt into blocks: a block names a shingle once, with its count, and gets one packed answer
+    from each bucket of shingles."""
+    spark, parts = members.sparkSession, shuffle_parts(members.sparkSession)
+    total = members.agg(F.sum(F.octet_length("hashes"))).first()[0] or 0
+    blocks, buckets = (max(parts, -(-total // size)) for size in (SET_BYTES, BUCKET_BYTES))
+    dealt = members.select(F.pmod(F.xxhash64("rep"), F.lit(blocks)).cast("int").alias("block"), "rep", "label", "hashes")
 
-    dealt = map_arrow(sets, deal, "bucket int, hashes binary, reps binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "rep long, own long").groupBy("rep").agg(F.sum("own").alias("own"))
+    def shingles(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
+        return np.concatenate([np.empty(0, np.uint64), *sets]), np.array([len(x) for x in sets], np.int64)
+
+    counted = {"bucket": _INT, "block": _INT, "hashes": _BYTES, "counts": _BYTES}
+    answer = {"block": _INT, "bucket": _INT, "counts": _BYTES}
+    named = {"bucket": _INT, "hashes": _BYTES, "rows": _BYTES}
+
+    def send(key, t):
+        h, n = np.unique(shingles(t)[0], return_counts=True)
+        order, cuts = _cuts(h, buckets)
+        h, n = h[order], n[order].astype(np.uint32)
+        return _packed({"bucket": [i for i, _, _ in cuts], "block": [key[0].as_py()] * len(cuts), "hashes": [h[x:y].tobytes() for _, x, y in cuts], "counts": [n[x:y].tobytes() for _, x, y in cuts]}, counted)
+
+    def count(key, t):
+        h, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("hashes", np.uint64), ("counts", np.uint32)))
+        _, which = np.unique(h, return_inverse=True)
+        n = np.minimum(np.bincount(which, n), 2**32 - 1).astype(np.uint32)[which]
+        ends = np.cumsum([0, *(len(x) // 8 for x in t.column("hashes").to_pylist())]).tolist()
+        return _packed({"block": t.column("block").to_pylist(), "bucket": [key[0].as_py()] * t.num_rows, "counts": [n[x:y].tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)]}, answer)
+
+    def prefix(key, t, answers):
+        h, n = shingles(t)
+        known, which = np.unique(h, return_inverse=True)
+        order, cuts = _cuts(known, buckets)
+        told = dict(zip(answers.column("bucket").to_pylist(), answers.column("counts").to_pylist(), strict=True))
+        counts = np.empty(len(known), np.uint32)
+        counts[order] = np.concatenate([np.empty(0, np.uint32), *(np.frombuffer(told[i], np.uint32) for i, _, _ in cuts)])
+        counts, of = counts[which], np.repeat(np.arange(len(n)), n)
+        order = np.lexsort((h, counts, of))
+        h, counts, of = h[order], counts[order], of[order]
+        before = np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+        first = (counts > 1) & (before <= n[of] + -(percent * n[of]) // 100)
+        h, of, before = h[first], of[first], before[first]
+        order, cuts = _cuts(h, buckets)
+        h, of, before = h[order], of[order], before[order]
+        rows = np.stack([np.asarray(t.column("rep"), np.int64)[of], np.asarray(t.column("label"), np.int64)[of], n[of], n[of] - before], 1)
+        return _packed({"bucket": [i for i, _, _ in cuts], "hashes": [h[x:y].tobytes() for _, x, y in cuts], "rows": [rows[x:y].tobytes() for _, x, y in cuts]}, named)
+
+    def meet(key, t):
+        h = np.frombuffer(b"".join(t.column("hashes").to_pylist()), np.uint64)
+        rep, label, n, rest = np.frombuffer(b"".join(t.column("rows").to_pylist()), np.int64).reshape(-1, 4).T
+        order = np.argsort(h, kind="stable")
+        h, rep, label, n, rest = (x[order] for x in (h, rep, label, n, rest))
+        left = -1
+        while len(h) and len(h) != left:  # until no member goes
+            left = len(h)
+            begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
+            size = np.diff(np.concatenate([begin, [left]]))
+            spread = lambda op, x: np.repeat(op.reduceat(x, begin), size)  # noqa: B023, E731
+            # The least size of a partner: what is here, and what the similarity allows.
+            other = np.maximum(spread(np.minimum, n), -(-percent * n // 100))
+            stays = (spread(np.minimum, label) != spread(np.maximum, label)) & ((100 + percent) * rest >= percent * (n + other))
+            h, rep, label, n, rest = (x[stays] for x in (h, rep, label, n, rest))
+        begin = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.empty(0, np.int64)
+        hub = np.repeat(np.minimum.reduceat(rep, begin), np.diff(np.concatenate([begin, [len(h)]]))) if len(h) else rep
+        pairs = np.unique(np.stack([hub, rep], 1)[hub != rep], axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], _LONG), "b": pa.array(pairs[:, 1], _LONG)})
+
+    ddl = lambda types: ", ".join(f"{c} {'int' if t == _INT else 'binary'}" for c, t in types.items())
+    ship(spark)
+    answers = dealt.groupBy("block").applyInArrow(send, ddl(counted)).groupBy("bucket").applyInArrow(count, ddl(answer))
+    prefixes = dealt.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(prefix, ddl(named))
+    return prefixes.groupBy("bucket").applyInArrow(meet, "a long, b long").distinct()
 
 
 def _overlaps(mine: list[np.ndarray], others: list[np.ndarray]):
@@ -261,7 +337,7 @@ def linked_across(members: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between different labels of members (cluster, rep, label, hashes), on full sets.
 
     A cluster is dealt into blocks of about BLOCK members; a task compares two blocks, and emits
-    one link at most of each member to each label."""
+    no more links than connect the labels that it finds linked: fewer than it has members."""
     sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("size"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
     dealt = members.join(sizes.select("cluster", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "cluster")
     dealt = dealt.withColumn("b", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -272,12 +348,21 @@ def linked_across(members: DataFrame, percent: int) -> DataFrame:
         sets = [np.frombuffer(x, np.uint64) for x in t.column("hashes").to_pylist()]
         n = np.array([len(x) for x in sets])
         left, right = np.flatnonzero(b == key[1].as_py()), np.flatnonzero(b == key[2].as_py())
-        out = []
-        if len(left) and len(right) and len({*label.tolist()}) > 1:
+        out, up = [], {x: x for x in label.tolist()}
+
+        def top(x: int) -> int:
+            while up[x] != x:
+                up[x] = x = up[up[x]]
+            return x
+
+        if len(left) and len(right) and len(up) > 1:
             for x, shared in zip(left, _overlaps([sets[i] for i in left], [sets[i] for i in right]), strict=True):
                 near = right[(100 * shared >= percent * (n[x] + n[right] - shared)) & (label[right] != label[x])]
-                _, one = np.unique(label[near], return_index=True)
-                out += [(min(rep[x], rep[y]), max(rep[x], rep[y])) for y in near[one]]
+                for y in near:
+                    one, two = top(int(label[x])), top(int(label[y]))
+                    if one != two:
+                        up[one] = two
+                        out.append((min(rep[x], rep[y]), max(rep[x], rep[y])))
         return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
 
     return dealt.groupBy("cluster", "i", "j").applyInArrow(run, "a long, b long")
@@ -303,37 +388,21 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("id", "label")
 
 
-def _labelled(busy: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return busy.withColumn("label", F.col("rep"))
-    return busy.join(labels.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+def _labelled(rows: DataFrame, labels: DataFrame, of: str = "rep", name: str = "label") -> DataFrame:
+    """rows with the label of a column of theirs; what has no link is its own."""
+    return rows.join(labels.toDF(of, "_label"), of, "left").withColumn(name, F.coalesce("_label", of)).drop("_label")
 
 
-def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links (a, b) that connect whatever links connect, between classes (rep, n_shingles, registers)."""
-    size = Window.partitionBy("key")
-    busy = stash(band_keys(classes).withColumn("n", F.count(F.lit(1)).over(size)).where("n > 1"), "near-bands")
-    company = busy.groupBy("rep").agg(F.sum("n").alias("company"))
-    hubs = busy.join(company, "rep").groupBy("key").agg(F.max(F.struct("company", (-F.col("rep")).alias("r"))).alias("h")).select("key", (-F.col("h.r")).alias("hub"))
-    hubs = stash(hubs, "near-hubs")
-    ordered = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    star = busy.join(hubs, "key").where("rep <> hub").select(*ordered("rep", "hub")).distinct()
-    found = stash(verified(stash(promising(star, classes, percent), "near-pairs"), docs, k, percent), "near-links")
-    # What stars leave open: two members of a group, neither its hub, in different components.
-    open_rows = _labelled(busy.where("n > 2").join(hubs, "key").where("rep <> hub").select("key", "rep"), components(found))
-    open_rows = stash(_open(open_rows), "near-open")
-    if open_rows.isEmpty():
-        return found
-    ids = stash(open_rows.select(F.col("rep").alias("id")).distinct(), "near-open-ids")
-    sets = stash(hashed_sets(ids, docs, k), "near-sets")
-    size = F.octet_length("hashes") / 8
-    able = sets.join(lonely(sets), "rep", "left").where(100 * (size - F.coalesce("own", F.lit(0))) >= percent * size).select("rep", "hashes")
-    rows = stash(_open(open_rows.join(able.select("rep"), "rep", "left_semi")), "near-able")
-    first = rows.groupBy("key").agg(F.min("rep").alias("a"))
-    clusters = components(rows.join(first, "key").select("a", F.col("rep").alias("b")).where("a <> b").distinct())
-    members = rows.select("rep", "label").distinct().join(clusters.select(F.col("id").alias("rep"), F.col("label").alias("cluster")), "rep").join(able, "rep")
-    more = linked_across(members, percent)
-    return found.unionByName(stash(more, "near-links"))
+def _star(rows: DataFrame, hubs: DataFrame) -> DataFrame:
+    """Pairs (a, b) of the rows (key, rep) with their key's hub."""
+    low, high = F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")
+    return rows.join(hubs, "key").where("rep <> hub").select(low, high).distinct()
+
+
+def _hubs(rows: DataFrame, *order) -> DataFrame:
+    """(key, hub) of rows (key, rep): the rep that is greatest in the order, then smallest."""
+    best = rows.groupBy("key").agg(F.max(F.struct(*order, (-F.col("rep")).alias("r"))).alias("h"))
+    return stash(best.select("key", (-F.col("h.r")).alias("hub")), "near-hubs")
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -342,6 +411,41 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(spread, "key", "left_semi")
 
 
+def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Verified links (a, b) that connect whatever links connect, between classes (rep, n_shingles, registers)."""
+    check = lambda pairs: stash(verified(stash(promising(pairs, classes, percent), "near-pairs"), docs, k, percent), "near-links")
+    bands = band_keys(classes)
+    groups = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    busy = stash(bands.join(groups, "key"), "near-bands")
+    company = busy.groupBy("rep").agg(F.sum("n").alias("company"))
+    hubs = _hubs(busy.join(company, "rep"), "company")
+    found = check(_star(busy, hubs))
+    # What stars leave open: two members of a group, neither of them a hub, in different components.
+    rows, before = busy.where("n > 2").select("key", "rep"), None
+    while True:
+        labels = components(found)
+        spokes = rows.join(hubs, "key").where("rep <> hub").select("key", "rep", "hub")
+        rows = stash(_open(_labelled(spokes, labels)), "near-open")
+        n = rows.count()
+        if not n:
+            return found
+        if before is not None and 2 * n > before:
+            break
+        # Another star in each, around a member that the last hub's component lacks.
+        before, beside = n, _labelled(rows.select("key", "rep", "label", "hub"), labels, "hub", "held")
+        hubs = _hubs(beside.withColumn("apart", F.col("label") != F.col("held")), "apart")
+        found = stash(found.unionByName(check(_star(rows.select("key", "rep"), hubs))), "near-links")
+        rows = rows.select("key", "rep")
+    reps = stash(rows.select("rep", "label").distinct(), "near-open-reps")
+    sets = hashed_sets(reps.select(F.col("rep").alias("id")), docs, k)
+    members = stash(reps.join(sets, "rep"), "near-sets")
+    stars = stash(prefix_stars(members, percent), "near-stars")
+    if stars.isEmpty():
+        return found
+    clusters = components(stars).select(F.col("id").alias("rep"), F.col("label").alias("cluster"))
+    return found.unionByName(stash(linked_across(members.join(clusters, "rep"), percent), "near-links"))
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs (doc_id, text) as rows (doc_id, n_shingles, component_id, kept)."""
     docs = only(docs, doc_id="doc_id", text="text")

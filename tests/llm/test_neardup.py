@@ -68,6 +68,49 @@ def test_against_brute_force(spark):
     compare(spark, corpus(2), 5, 80)
 
 
+def families(seed, n_families=9, each=14):
+    """Families of near copies whose heads are all alike, but too little to be linked."""
+    rnd = random.Random(seed)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(5))
+    changed = lambda words, n: [word() if i in at else w for at in [rnd.sample(range(len(words)), n)] for i, w in enumerate(words)]
+    base = [word() for _ in range(150)]
+    texts = [base] + [changed(head, rnd.randrange(3)) for head in (changed(base, 5) for _ in range(n_families)) for _ in range(each)]
+    rnd.shuffle(texts)
+    return [(i, " ".join(t)) for i, t in enumerate(texts)]
+
+
+def test_groups_whose_hub_is_unlike_the_others(spark):
+    rows = families(4)
+    compare(spark, rows, 3, 85)
+    compare(spark, rows, 5, 80)
+
+
+def test_prefix_stars_lose_no_link(spark):
+    for seed, percent in ((5, 85), (6, 80)):
+        rows = families(seed, 5, 8) + [(1000 + i, t) for i, t in corpus(seed) if t and i < 9000]
+        h, first = neardup.shingle_sets(pa.array([t for _, t in rows]), 3)
+        sets = [frozenset(h[a:b].tolist()) for a, b in zip(first[:-1], first[1:], strict=True)]
+        members = [(i, i % 50 if i % 3 else i, h[a:b].tobytes()) for (i, _), a, b in zip(rows, first[:-1], first[1:], strict=True)]
+        stars = neardup.prefix_stars(spark.createDataFrame(members, "rep long, label long, hashes binary"), percent).collect()
+        group = {i: i for i, _ in rows}
+        for a, b in stars:
+            one, two = group[a], group[b]
+            group = {i: two if g == one else g for i, g in group.items()}
+        for x, (i, label, _) in enumerate(members):
+            for y, (j, other, _) in enumerate(members[:x]):
+                both = len(sets[x] & sets[y])
+                if label != other and both and 100 * both >= percent * len(sets[x] | sets[y]):
+                    assert group[i] == group[j], (i, j)
+        assert len({*group.values()}) > 20  # and keeps most others apart
+
+
+def test_blocks_give_no_more_links_than_members(spark):
+    h = np.arange(100, dtype=np.uint64)
+    members = [(0, i, i, (h + np.uint64(i % 3)).tobytes()) for i in range(60)]
+    got = neardup.linked_across(spark.createDataFrame(members, "cluster long, rep long, label long, hashes binary"), 90).collect()
+    assert len(got) == 59 and {x for r in got for x in r} == {*range(60)}
+
+
 def test_nulls_ties_and_no_rows(spark):
     t = "a b c d e f g h i j"
     df = spark.createDataFrame([(1, t, "", "", 0), (1, t, "", "", 0), (2, t, "", "", 0), (None, t, "", "", 0), (3, None, "", "", 0)], DOCS)
