@@ -425,7 +425,8 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
     while True:
         labels = components(found)
         spokes = rows.join(hubs, "key").where("rep <> hub").select("key", "rep", "hub")
-        rows = stash(_open(_labelled(spokes, labels)), "near-open")
+        # Written first, so that a key's rows aren't bound to one task by the count of its labels.
+        rows = stash(_open(stash(_labelled(spokes, labels), "near-spokes")), "near-open")
         n = rows.count()
         if not n:
             return found
