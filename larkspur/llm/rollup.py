@@ -6,10 +6,13 @@ insert has no old side, a delete no new one; a revision may also move a document
 source, language or version. Each change becomes at most two signed rows, which are summed
 per key before they are shuffled, so a hot source costs a row per task.
 
-A batch is committed once, by renaming its staged folder to the batch's name: a second
-commit of the same name changes nothing, a commit that died leaves only a staged folder
-that nobody reads. Totals are the sum over committed batches; compact() folds them into one
-base that remembers their names.
+A batch is committed once, by moving its staged folder to the batch's name, a move that fails
+where that name is taken, in one step on file systems like HDFS: of two writers of one name
+one commits, the other changes nothing. A commit that died leaves only a staged folder that
+nobody reads; a move that fails for any other reason raises and leaves the staged data.
+Totals are the sum over committed batches; compact() folds them into a new base that remembers
+their names, and drops what it folded only once that base is in place. Of two compactions one
+raises and drops nothing. A batch name that the base holds isn't read again.
 
 Defined results: null source, language and version are keys of their own; null counts are
 0; an empty batch is a batch; repeated changes in one batch count each; a key whose sums
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import re
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,7 +51,7 @@ def _summed(rows: DataFrame) -> DataFrame:
 
 
 class Rollup:
-    """Totals in a folder of the cluster's shared file system."""
+    """Totals in a folder of the cluster's shared file system, which must move folders in one step."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
@@ -58,48 +62,76 @@ class Rollup:
         top = self._path(f"{self.folder}/{kind}")
         return sorted(x.getPath().getName() for x in self._fs.listStatus(top)) if self._fs.exists(top) else []
 
-    def _base(self) -> tuple[str | None, set[str]]:
-        """The newest base's name and the batches that it holds."""
+    def _staged(self, label: str) -> str:
+        return f"{self.folder}/staged/{fresh_folder(self.spark, label).rpartition('/')[2]}"
+
+    def _move(self, staged: str, to: str) -> bool:
+        """Moves a folder to a name; False if that is taken. Raises where the file system fails."""
+        jvm, (old, new) = self.spark._jvm, (self._path(f"{x}") for x in (staged, to))
+        self._fs.mkdirs(new.getParent())
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(old.toUri(), self.spark._jsc.hadoopConfiguration())
+        no_options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+        try:
+            context.rename(old, new, no_options)
+        except Py4JJavaError as e:
+            if "FileAlreadyExistsException" in str(e.java_exception):
+                return False
+            raise
+        return True
+
+    def _base(self) -> tuple[str | None, DataFrame]:
+        """The newest base's totals and the names of the batches that it holds."""
         if not (names := self._names("base")):
-            return None, set()
+            return None, self.spark.createDataFrame([], "batch string")
         at = f"{self.folder}/base/{names[-1]}"
-        return f"{at}/totals", {r[0] for r in self.spark.read.schema("batch string").json(f"{at}/batches").collect()}
+        return f"{at}/totals", self.spark.read.schema("batch string").json(f"{at}/batches")
+
+    def _open(self, held: DataFrame) -> list[str]:
+        """Names of the committed batches that no base holds yet."""
+        names = self._names("batch")
+        return sorted({*names} - {r[0] for r in held.where(F.col("batch").isin(names)).collect()})
 
-    def batches(self) -> set[str]:
-        """Names of all committed batches."""
-        return self._base()[1] | set(self._names("batch"))
+    def batches(self) -> DataFrame:
+        """(batch): the names of all committed batches."""
+        held = self._base()[1]
+        return held.unionByName(self.spark.createDataFrame([(b,) for b in self._open(held)], "batch string"))
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
         """Adds a batch of changes; False, and nothing done, if its name has been committed."""
         if not re.fullmatch(r"[A-Za-z0-9-]+", batch):
             raise ValueError(f"not a batch name: {batch!r}")
-        if batch in self.batches():
+        if self._committed(batch):
             return False
-        staged = f"{self.folder}/staged/{fresh_folder(self.spark, batch).rpartition('/')[2]}"
+        staged = self._staged(batch)
         deltas(changes).write.parquet(staged)
-        self._fs.mkdirs(self._path(f"{self.folder}/batch"))
-        done = self._path(f"{self.folder}/batch/{batch}")
-        if self._fs.exists(done) or not self._fs.rename(self._path(staged), done):
+        if not self._move(staged, f"{self.folder}/batch/{batch}"):
             self._fs.delete(self._path(staged), True)
             return False
         return True
 
+    def _committed(self, batch: str) -> bool:
+        return batch in self._names("batch") or not self._base()[1].where(F.col("batch") == batch).isEmpty()
+
     def totals(self) -> DataFrame:
         """(source, lang, version, docs, tokens) over all committed batches."""
         base, held = self._base()
-        paths = [base] * bool(base) + [f"{self.folder}/batch/{b}" for b in self._names("batch") if b not in held]
+        return self._totals(base, self._open(held))
+
+    def _totals(self, base: str | None, names: list[str]) -> DataFrame:
+        paths = [base] * bool(base) + [f"{self.folder}/batch/{b}" for b in names]
         schema = "source string, lang string, version string, docs bigint, tokens bigint"
         return _summed(self.spark.read.schema(schema).parquet(*paths)) if paths else self.spark.createDataFrame([], schema)
 
     def compact(self) -> None:
-        """Folds all committed batches into a new base, then drops them."""
-        held, old = self.batches(), self._names("base")
-        staged, name = f"{self.folder}/staged/{fresh_folder(self.spark, 'base').rpartition('/')[2]}", f"{len(old) and int(old[-1]) + 1:09d}"
-        self.totals().write.parquet(f"{staged}/totals")
-        self.spark.createDataFrame([(b,) for b in sorted(held)], "batch string").write.json(f"{staged}/batches")
-        self._fs.mkdirs(self._path(f"{self.folder}/base"))
-        self._fs.rename(self._path(staged), self._path(f"{self.folder}/base/{name}"))
-        for b in held:
+        """Folds all committed batches into a new base, then drops them and the old bases."""
+        old, (base, held) = self._names("base"), self._base()
+        folded = self._open(held)
+        staged, name = self._staged("base"), f"{int(old[-1]) + 1 if old else 0:09d}"
+        self._totals(base, folded).write.parquet(f"{staged}/totals")
+        held.unionByName(self.spark.createDataFrame([(b,) for b in folded], "batch string")).write.json(f"{staged}/batches")
+        if not self._move(staged, f"{self.folder}/base/{name}"):
+            raise RuntimeError(f"another compaction wrote base {name} first; what this one staged is in {staged}")
+        for b in folded:
             self._fs.delete(self._path(f"{self.folder}/batch/{b}"), True)
         for b in old:
             self._fs.delete(self._path(f"{self.folder}/base/{b}"), True)
