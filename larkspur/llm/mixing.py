@@ -2,13 +2,22 @@
 
 Tokens are aggregated per source, a water-filling pass turns weights into targets, and the
 ratio of target to size is the source's repetition rate: each document is emitted
-floor(rate) times, plus one copy decided by a hash of seed and document id whose
-probability is the rate's fraction. Nothing but (document, source, size) is shuffled, and
-that only as partial sums.
+floor(rate) times, plus one copy by a hash of seed and document id whose probability is the
+rate's fraction.
+
+The copies of a source are drawn in strata of sizes, powers of two, from the longest documents
+to the shortest. A stratum owes the fraction of its tokens, plus what the strata before it
+gave short or over; it takes its documents in order of their hash until that is met. The last
+cell of hashes, of CELLS, is taken or not by a hash of source and stratum, with the probability
+that makes its tokens as many as owed on average. What is handed down is scaled, by sizes alone
+and not by what was drawn, to what the next stratum can surely make good: so a document's own
+probability stays the fraction, while errors don't add up over a source but shrink to about
+those of its shortest documents. Sums by source, stratum and cell are all that is shuffled.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered
-last; sources without words have target 0 and keep floor(0) copies; an empty table gives an
-empty table; repeated ids draw the same number, so copies of a row fare alike.
+last; sources without words have target 0 and no copies; documents without words are drawn one
+by one; an empty table gives an empty table; repeated ids draw the same number, so copies of a
+row fare alike, and null ids draw by their text; very long texts are strata of their own.
 """
 
 from __future__ import annotations
@@ -16,10 +25,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import only, table, words
+from larkspur.llm.common import only, stash, table, words
 
-#: Sources up to this many are broadcast (a row each of under 100 bytes); more are joined by key.
+#: Sources up to this many are broadcast (a row each of under 1 KB); more are joined by key.
 BROADCAST_SOURCES = 10_000
+#: Cells of the hash that order a stratum's documents.
+CELLS = 256
 
 
 def source_targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0) -> DataFrame:
@@ -49,43 +60,86 @@ def source_targets(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5
 
 def draw(key: Column, seed: str) -> Column:
     """A number in [0, 1) from a hash of seed and key; the same in every run."""
-    digest = F.sha2(F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null"))), 256)
+    digest = F.sha2(F.concat(F.lit(seed + ":"), key), 256)
     return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") / F.lit(float(16**12))
 
 
-def copies(target: Column, size: Column, key: Column, seed: str) -> Column:
-    """floor(rate) plus a hash-seeded Bernoulli copy for the fraction."""
-    rate = F.when(size > 0, target / size).otherwise(F.lit(0.0))
-    return (F.floor(rate) + F.when(draw(key, seed) < rate - F.floor(rate), 1).otherwise(0)).cast("long")
+def document_key(doc_id: Column, text: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), F.coalesce(text, F.lit(""))))
 
 
-def with_targets(docs: DataFrame, targets: DataFrame) -> DataFrame:
-    """docs with their source's size and target. The targets have a row per source: they are
-    broadcast behind a count of the sources, and joined by key, salted by AQE, beyond it."""
-    few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    t = targets.withColumnRenamed("source", "_source")
-    return docs.join(F.broadcast(t) if few else t, docs["source"].eqNullSafe(t["_source"]), "left").drop("_source")
+def stratum(size: Column) -> Column:
+    """The power of two that a size reaches; -1 for none."""
+    return F.when(size > 0, F.length(F.bin(size)) - 1).otherwise(-1)
 
 
-def mix(docs: DataFrame, size: Column | None = None, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+def _fraction(target: Column, size: Column) -> Column:
+    rate = F.when(size > 0, target / size).otherwise(F.lit(0.0))
+    return rate - F.floor(rate)
+
+
+def quotas(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
+    """(source, source_size, target, upto) of rows (source, size, u): one row a source. upto maps a
+    stratum to the first cell of hashes that gets no more copy."""
+    sums = sizes.groupBy("source", stratum(F.col("size")).alias("b"), F.floor(F.col("u") * CELLS).cast("int").alias("cell")).agg(F.sum("size").alias("size"))
+    sums = stash(sums, "mix-sums")
+    by_cell = Window.partitionBy("source", "b").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cells = sums.where("b >= 0").withColumn("after", F.sum("size").over(by_cell)).withColumn("before", F.col("after") - F.col("size"))
+    strata = cells.groupBy("source", "b").agg(F.sort_array(F.collect_list(F.struct("cell", "before", "after"))).alias("cells"), F.max("after").alias("total"))
+    per_source = strata.groupBy(F.col("source").alias("_source")).agg(F.sort_array(F.collect_list(F.struct("b", "total", "cells")), False).alias("strata"))
+    targets = source_targets(sums, weights, share, most)
+    joined = targets.join(per_source, targets["source"].eqNullSafe(per_source["_source"]), "left")
+    owed = _fraction(F.col("target"), F.col("source_size"))
+
+    def step(state: Column, s: Column) -> Column:
+        # bound: of the carry, whatever was drawn; room: what this stratum can give or save beyond its own share.
+        room = F.least(owed, F.lit(1.0) - owed) * s["total"]
+        part = F.when(state["bound"] > room, room / state["bound"]).otherwise(F.lit(1.0))
+        due = state["carry"] * part + owed * s["total"]
+        last = F.element_at(F.filter(s["cells"], lambda c: c["before"] < due), -1)
+        chance = (due - last["before"]) / (last["after"] - last["before"])
+        whole = draw(F.concat(F.coalesce("source", F.lit("null")), F.lit("/"), s["b"].cast("string")), seed) < chance
+        given = F.when(due <= 0, F.lit(0)).when(whole, last["after"]).otherwise(last["before"])
+        end = F.when(due <= 0, F.lit(0)).when(whole, last["cell"] + 1).otherwise(last["cell"])
+        bound = state["bound"] * (F.lit(1.0) - part) + F.array_max(F.transform(s["cells"], lambda c: c["after"] - c["before"]))
+        return F.struct((state["carry"] + owed * s["total"] - given).alias("carry"), bound.alias("bound"), F.array_append(state["upto"], F.struct(s["b"].alias("b"), end.cast("int").alias("end"))).alias("upto"))
+
+    start = F.struct(F.lit(0.0).alias("carry"), F.lit(0.0).alias("bound"), F.array().cast("array<struct<b:int,end:int>>").alias("upto"))
+    strata = F.coalesce("strata", F.array().cast(per_source.schema["strata"].dataType))
+    upto = F.aggregate(strata, start, step, lambda s: F.map_from_entries(s["upto"]))
+    return stash(joined.select("source", "source_size", "target", upto.alias("upto")), "mix-quotas")
+
+
+def with_copies(rows: DataFrame, quotas: DataFrame) -> DataFrame:
+    """rows (source, size, u and others) with source_size, target and copies. The quotas have a row
+    per source: they are broadcast behind a count of the sources, and joined by key beyond it."""
+    few = quotas.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
+    q = quotas.withColumnRenamed("source", "_source")
+    out = rows.join(F.broadcast(q) if few else q, rows["source"].eqNullSafe(q["_source"]), "left").drop("_source")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    end = F.coalesce(F.try_element_at("upto", stratum(F.col("size"))), F.lit(0))
+    more = F.when(F.col("size") > 0, F.floor(F.col("u") * CELLS) < end).otherwise(F.col("u") < rate - F.floor(rate))
+    return out.withColumn("copies", (F.floor(rate) + more.cast("int")).cast("long")).drop("upto")
+
+
+def mix(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """docs (doc_id, source, text) as rows (doc_id, size, source_size, target, copies, taken)."""
-    size = F.size(words(F.col("text"))).cast("long") if size is None else size
-    sized = only(docs, doc_id="doc_id", source="source", text="text").withColumn("size", size).select("doc_id", "source", "size")
-    out = with_targets(sized, source_targets(sized, weights, share, most))
-    out = out.withColumn("copies", copies(F.col("target"), F.col("source_size"), F.col("doc_id"), seed))
+    sized = stash(_sized(only(docs, doc_id="doc_id", source="source", text="text"), seed).drop("text"), "mix-sizes")
+    out = with_copies(sized, quotas(sized, weights, share, most, seed))
     return out.select("doc_id", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def _sized(docs: DataFrame, seed: str) -> DataFrame:
+    return docs.withColumns({"size": F.size(words(F.col("text"))).cast("long"), "u": draw(document_key(F.col("doc_id"), F.col("text")), seed)})
+
+
 def mixed_documents(docs: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """The mix itself: rows of docs with all their columns, each emitted as often as it is taken."""
-    named = only(docs, doc_id="doc_id", source="source", text="text")
-    sizes = named.select("source", F.size(words(F.col("text"))).cast("long").alias("size"))
-    targets = source_targets(sizes, weights, share, most).toDF("_s", "_size", "_target")
-    few = targets.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES
-    joined = docs.join(F.broadcast(targets) if few else targets, docs["source"].eqNullSafe(targets["_s"]), "left")
-    n = copies(F.col("_target"), F.col("_size"), docs["doc_id"], seed).cast("int")
-    times = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return joined.withColumn("_copy", F.explode(times)).select(*[docs[c] for c in docs.columns])
+    packed = docs.select(F.struct("*").alias("row"))
+    named = packed.select("row", *[F.col(f"row.{c}").alias(c) for c in ("doc_id", "source", "text")])
+    sized = _sized(named, seed).drop("text", "doc_id")
+    out = with_copies(sized, quotas(sized.select("source", "size", "u"), weights, share, most, seed))
+    return out.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))).select("row.*")
 
 
 def op10_mixing(spark, sf_dir):
@@ -93,16 +147,33 @@ def op10_mixing(spark, sf_dir):
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+        ('0x' || substr(sha256('mix:' || coalesce(doc_id::VARCHAR, 'null:' || coalesce(text, ''))), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u FROM documents),
+p AS (SELECT *, CASE WHEN size > 0 THEN length(bin(size)) - 1 ELSE -1 END AS b, floor(u * 256)::INT AS cell FROM d),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::DOUBLE AS w FROM s),
 c AS (SELECT *, source_size * 2.0::DOUBLE AS cap, source_size * 2.0::DOUBLE / w AS fill, (SELECT sum(size) FROM d)::DOUBLE * 1.5::DOUBLE AS budget FROM w),
 l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
         / sum(w) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 t AS (SELECT source, source_size, least(cap, coalesce((SELECT max(level) FROM l WHERE level <= fill) * w, cap)) AS target FROM l),
-r AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-        ('0x' || substr(sha256('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
-      FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target::DOUBLE AS target,
-  (size * (floor(rate) + CASE WHEN u < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM r
+r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM t),
+h AS (SELECT source, b, cell, sum(size)::BIGINT AS size FROM p WHERE size > 0 GROUP BY ALL),
+e AS (SELECT source, b, cell, size, sum(size) OVER (PARTITION BY source, b ORDER BY cell)::BIGINT AS after FROM h),
+g AS (SELECT source, b, sum(size)::BIGINT AS total, max(size)::BIGINT AS cell, row_number() OVER (PARTITION BY source ORDER BY b DESC) AS k,
+        ('0x' || substr(sha256('mix:' || coalesce(source, 'null') || '/' || b::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS v FROM h GROUP BY source, b),
+q AS (
+  SELECT source, 0::BIGINT AS k, -1 AS b, 0 AS upto, 0.0::DOUBLE AS carry, 0.0::DOUBLE AS bound, rate - floor(rate) AS owed FROM r
+  UNION ALL
+  SELECT source, k, b, CASE WHEN due <= 0 THEN 0 WHEN v < chance THEN x.cell + 1 ELSE x.cell END,
+    carry + owed * total - CASE WHEN due <= 0 THEN 0 WHEN v < chance THEN x.after ELSE x.before END, bound * (1.0::DOUBLE - part) + cell, owed
+  FROM (SELECT *, (due - x.before) / (x.after - x.before) AS chance FROM (
+    SELECT *, (SELECT max({'cell': e.cell, 'before': e.after - e.size, 'after': e.after}) FROM e
+       WHERE e.source IS NOT DISTINCT FROM o.source AND e.b = o.b AND e.after - e.size < o.due) AS x
+    FROM (SELECT *, carry * part + owed * total AS due FROM (
+      SELECT q.source, q.carry, q.bound, q.owed, g.k, g.b, g.v, g.total, g.cell,
+        CASE WHEN q.bound > least(q.owed, 1.0::DOUBLE - q.owed) * g.total THEN least(q.owed, 1.0::DOUBLE - q.owed) * g.total / q.bound ELSE 1.0::DOUBLE END AS part
+      FROM q JOIN g ON g.source IS NOT DISTINCT FROM q.source AND g.k = q.k + 1)) o)))
+SELECT p.doc_id, p.size, r.source_size, r.target::DOUBLE AS target,
+  (p.size * (floor(r.rate) + CASE WHEN p.size > 0 AND p.cell < q.upto THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM p JOIN r ON p.source IS NOT DISTINCT FROM r.source LEFT JOIN q ON q.k > 0 AND q.source IS NOT DISTINCT FROM p.source AND q.b = p.b
 """
