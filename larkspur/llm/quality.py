@@ -1,20 +1,27 @@
 """Quality rules: base statistics of a text, then robust multivariate outliers.
 
 Documents that pass the base rules are described by four transformed statistics. Per
-language and source a regularised minimum-covariance-determinant estimate (several
-deterministic starts, concentration steps on the best 3/4 of the rows, consistency factor,
-a variance floor per statistic as the regularising target) gives centre and scatter; a
-document whose squared Mahalanobis distance exceeds a high chi-square quantile is rejected.
+language and source a regularised minimum-covariance-determinant estimate gives centre and
+scatter; a document whose squared Mahalanobis distance exceeds a high chi-square quantile is
+rejected.
+
+The estimate has six starts: all rows, those without symbols and repeats to speak of, and four
+draws of about ten rows by hash. Two concentration steps are made from each, then more from the
+two of least determinant a group. A step takes exactly COVERAGE of a group's rows, those of
+least distance; a consistency factor corrects their scatter. Most statistics are 0 for most
+texts, so the scatter of the rows taken is regularised by a target: least standard deviations,
+correlated as the statistics are over the whole table, within groups.
 
 Built of DataFrame functions alone. A concentration step is one partial aggregation: rows
-are summed into logarithmic bins of their distance, so a group's quantile and the sums over
-the rows below it come from the same few hundred bins, whatever the group's size. The
+are summed into logarithmic bins of their distance, and the sums of the bin in which COVERAGE
+is reached count by the share that is taken of it; so a group's rows are never sorted. The
 statistics are rounded to 1/1024 and summed as integers, so the estimates don't depend on
 the partitioning.
 
 Defined results: null and empty texts have no words and fail the base rules; null language
-or source form groups of their own; a group of equal rows has the floor as its scatter and
-rejects none of them; repeated rows are judged each; an empty table gives an empty table.
+or source form groups of their own; a group of equal rows has the target as its scatter and
+rejects none of them; repeated rows are judged each; very long texts are judged whole; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -28,14 +35,20 @@ from larkspur.llm.common import let, only, stash, table, words
 
 UNIT = 1024
 #: Least standard deviations of the transformed statistics: log word length, and log shares
-#: in per cent of symbols, repeated lines and repeated words.
-FLOOR = (0.06, 0.5, 0.9, 0.9)
+#: in per cent of symbols, repeated lines and repeated words. Where a group has no spread of its
+#: own, a share of 10 % symbols, 17 % lines or 13 % words (of the steadied sums below) is rejected
+#: on its own; the base rules let 20 % of the words pass.
+FLOOR = (0.06, 0.5, 0.6, 0.54)
 #: 0.9999 quantile of chi-square with 4 degrees of freedom.
 CUTOFF = 23.513
 COVERAGE = 0.75
-#: Up to so many groups the estimates (three rows of some 150 bytes each) are broadcast.
+#: Up to so many groups the estimates (six rows of some 150 bytes each) are broadcast.
 BROADCAST_GROUPS = 20_000
-STEPS = 4
+#: Draws by hash of about so many rows a group; concentration steps from all starts, then from the best.
+DRAWS, DRAWN = 4, 10
+FIRST_STEPS, STEPS, BEST = 2, 4, 2
+#: Share of the table's correlations in the target's; below 1, so that it has an inverse.
+CORRELATED = 0.95
 #: Words, word characters, lines that steady the ratios of short texts.
 STEADY_WORDS, STEADY_CHARS, STEADY_LINES = 100, 100, 10
 
@@ -111,17 +124,36 @@ def _moments(p: int) -> list[Column]:
     return sums + [F.sum(F.col(f"q{j}") * F.col(f"q{k}")).alias(f"s{j}_{k}") for j in range(p) for k in range(j + 1)]
 
 
-def _estimate(sums: DataFrame, floor, factor: float) -> DataFrame:
+def scatter_target(sums: DataFrame, floor) -> list[list[float]]:
+    """The regularising scatter: floor as standard deviations, correlated as rows are within groups.
+
+    sums: _moments() by group, a row each; ten figures come back."""
+    p = len(floor)
+    pairs = [(j, k) for j in range(p) for k in range(j + 1)]
+    within = sums.agg(*[F.sum(F.col(f"s{j}_{k}") - F.col(f"s{j}") / F.col("n") * F.col(f"s{k}")).alias(f"v{j}_{k}") for j, k in pairs]).first()
+    v = {(j, k): within[f"v{j}_{k}"] or 0.0 for j, k in pairs}
+
+    def correlation(j: int, k: int) -> float:
+        j, k = max(j, k), min(j, k)
+        if j == k:
+            return 1.0
+        size = math.sqrt(max(v[j, j], 0.0) * max(v[k, k], 0.0))
+        return round(CORRELATED * max(-1.0, min(1.0, v[j, k] / size)), 6) if size else 0.0
+
+    return [[floor[j] * floor[k] * correlation(j, k) for k in range(p)] for j in range(p)]
+
+
+def _estimate(sums: DataFrame, target: list[list[float]], factor: float) -> DataFrame:
     """Centre, Cholesky factor and log determinant from the sums of each (gkey, start)."""
-    p, n = len(floor), F.col("n").cast("double")
+    p, n = len(target), F.col("n").cast("double")
     out = sums.withColumns({f"c{j}": F.col(f"s{j}") / n / UNIT for j in range(p)})
-    cov = {(j, k): (F.col(f"s{j}_{k}") / n / UNIT**2 - F.col(f"c{j}") * F.col(f"c{k}")) * factor + (floor[j] ** 2 if j == k else 0.0) for j in range(p) for k in range(j + 1)}
+    cov = {(j, k): (F.col(f"s{j}_{k}") / n / UNIT**2 - F.col(f"c{j}") * F.col(f"c{k}")) * factor + target[j][k] for j in range(p) for k in range(j + 1)}
     for j in range(p):
         for k in range(j + 1):
             inner = cov[j, k]
             for i in range(k):
                 inner = inner - F.col(f"l{j}_{i}") * F.col(f"l{k}_{i}")
-            out = out.withColumn(f"l{j}_{k}", F.sqrt(F.greatest(inner, F.lit(floor[j] ** 2 / 2))) if j == k else inner / F.col(f"l{k}_{k}"))
+            out = out.withColumn(f"l{j}_{k}", F.sqrt(F.greatest(inner, F.lit(target[j][j] * 1e-6))) if j == k else inner / F.col(f"l{k}_{k}"))
     det = sum((F.log(F.col(f"l{j}_{j}")) for j in range(p)), F.lit(0.0))
     return out.select("gkey", "start", det.alias("det"), *[f"c{j}" for j in range(p)], *[f"l{j}_{k}" for j in range(p) for k in range(j + 1)])
 
@@ -146,25 +178,50 @@ def few_groups(rows: DataFrame) -> bool:
     return rows.select("gkey").distinct().limit(BROADCAST_GROUPS + 1).count() <= BROADCAST_GROUPS
 
 
+def _first_sums(rows: DataFrame, sums: DataFrame, p: int, few: bool) -> DataFrame:
+    """_moments() of the rows of each start."""
+    plain = sum((F.col(f"q{j}") for j in range(1, p)), F.lit(0)) < UNIT
+    hashed = lambda i: F.pmod(F.xxhash64(F.lit(i), "doc_id", *[f"q{j}" for j in range(p)]), F.lit(1 << 20))
+    drawn = [F.when(hashed(i) * F.col("_n") < DRAWN << 20, i + 2) for i in range(DRAWS)]
+    sized = _joined(rows, sums.select("gkey", F.col("n").alias("_n")), ["gkey"], few)
+    dealt = sized.withColumn("start", F.explode(F.array_compact(F.array(F.lit(0), F.when(plain, 1), *drawn))))
+    return dealt.groupBy("gkey", "start").agg(*_moments(p))
+
+
+def concentrate(rows: DataFrame, estimate: DataFrame, target: list[list[float]], coverage: float, few: bool = False) -> DataFrame:
+    """The next estimate of each (gkey, start): from the rows of least distance, exactly coverage of them."""
+    p = len(target)
+    far = F.least(F.greatest(_distance(p), F.lit(1e-6)), F.lit(1e6))
+    binned = _joined(rows, estimate, ["gkey"], few).withColumn("bin", F.floor(F.log(far) * 8).cast("int"))
+    bins = binned.groupBy("gkey", "start", "bin").agg(*_moments(p))
+    names = [c for c in bins.columns if c not in ("gkey", "start", "bin")]
+    group = Window.partitionBy("gkey", "start")
+    below = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    taken = (F.sum("n").over(group) * F.lit(coverage) - below) / F.col("n")
+    parts = bins.withColumn("_taken", F.least(taken, F.lit(1.0))).where("_taken > 0")
+    # One bin at most counts in part, so the order of summing doesn't matter.
+    total = lambda c: F.coalesce(F.sum(F.when(F.col("_taken") == 1, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(F.col("_taken") < 1, F.col(c) * F.col("_taken"))), F.lit(0.0))
+    sums = parts.groupBy("gkey", "start").agg(*[total(c).alias(c) for c in names])
+    return stash(_estimate(sums, target, consistency(p, coverage)), "quality-estimates")
+
+
+def _best(estimate: DataFrame, n: int) -> DataFrame:
+    rank = Window.partitionBy("gkey").orderBy("det", "start")
+    return estimate.withColumn("_r", F.row_number().over(rank)).where(F.col("_r") <= n).drop("_r")
+
+
 def mcd(rows: DataFrame, floor=FLOOR, coverage: float = COVERAGE, steps: int = STEPS, few: bool = False) -> DataFrame:
     """Per gkey of rows (gkey, doc_id, q0..): the estimate of least determinant."""
-    p, factor = len(floor), consistency(len(floor), coverage)
-    # Starts: all rows, those without symbols and repeats to speak of, a hashed third.
-    plain = sum((F.col(f"q{j}") for j in range(1, p)), F.lit(0)) < UNIT
-    third = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(3)) == 0
-    dealt = rows.withColumn("start", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
-    first = dealt.where((F.col("start") == 0) | ((F.col("start") == 1) & plain) | ((F.col("start") == 2) & third))
-    estimate = _estimate(first.groupBy("gkey", "start").agg(*_moments(p)), floor, factor)
+    p = len(floor)
+    sums = stash(rows.groupBy("gkey").agg(*_moments(p)), "quality-sums")
+    target = scatter_target(sums, floor)
+    estimate = stash(_estimate(_first_sums(rows, sums, p, few), target, 1.0), "quality-estimates")
+    for _ in range(FIRST_STEPS):
+        estimate = concentrate(rows, estimate, target, coverage, few)
+    estimate = _best(estimate, BEST)
     for _ in range(steps):
-        binned = _joined(dealt, estimate, ["gkey", "start"], few).withColumn("bin", F.floor(F.log(F.least(F.greatest(_distance(p), F.lit(1e-6)), F.lit(1e6))) * 8).cast("int"))
-        bins = binned.groupBy("gkey", "start", "bin").agg(*_moments(p))
-        group = Window.partitionBy("gkey", "start")
-        below = F.coalesce(F.sum("n").over(group.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        best = bins.withColumns({"_below": below, "_all": F.sum("n").over(group)}).where(F.col("_below") < F.ceil(F.col("_all") * coverage))
-        names = [c.split("(")[0] for c in bins.columns if c not in ("gkey", "start", "bin")]
-        estimate = _estimate(best.groupBy("gkey", "start").agg(*[F.sum(c).alias(c) for c in names]), floor, factor)
-    rank = Window.partitionBy("gkey").orderBy("det", "start")
-    return estimate.withColumn("_r", F.row_number().over(rank)).where("_r = 1").drop("_r", "start", "det")
+        estimate = concentrate(rows, estimate, target, coverage, few)
+    return _best(estimate, 1).drop("start", "det")
 
 
 def judge(docs: DataFrame, floor=FLOOR, cutoff: float = CUTOFF, coverage: float = COVERAGE, steps: int = STEPS) -> DataFrame:
