@@ -44,10 +44,19 @@ def fresh_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark)}/larkspur/{label}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a lineage cut that outlives executors."""
+#: Narrow rows (ids, labels, figures) of a file, where their number is known.
+FILE_ROWS = 200_000
+
+
+def stash(df: DataFrame, label: str, most_rows: int | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back: a lineage cut that outlives executors.
+
+    most_rows: a bound of how many narrow rows there are; where they are few, they are written by
+    as few tasks, as each file costs a file system more than its rows do."""
     spark = df.sparkSession
     path = fresh_folder(spark, label)
+    if most_rows is not None and (files := max(1, -(-most_rows // FILE_ROWS))) < shuffle_parts(spark):
+        df = df.coalesce(files)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -189,7 +189,7 @@ def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs (a, b), those whose full sets are similar enough."""
-    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-members")
+    ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-members", 2 * pairs.count())
     texts = texts_of(docs, ids)
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
@@ -376,13 +376,14 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label of the neighbours, then the label's own label, until
     nothing changes; both shorten paths, so rounds grow with the logarithm of a path's length."""
-    both = stash(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "near-edges")
-    labels = stash(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "near-labels")
+    n = 2 * edges.count()
+    both = stash(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "near-edges", n)
+    labels = stash(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "near-labels", n)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("next"))
-        new = stash(step.join(jump, "label").select("id", "old", F.least("label", "next").alias("label")), "near-labels")
+        new = stash(step.join(jump, "label").select("id", "old", F.least("label", "next").alias("label")), "near-labels", n)
         if new.where("old <> label").isEmpty():
             return labels
         labels = new.select("id", "label")
@@ -399,10 +400,10 @@ def _star(rows: DataFrame, hubs: DataFrame) -> DataFrame:
     return rows.join(hubs, "key").where("rep <> hub").select(low, high).distinct()
 
 
-def _hubs(rows: DataFrame, *order) -> DataFrame:
-    """(key, hub) of rows (key, rep): the rep that is greatest in the order, then smallest."""
+def _hubs(rows: DataFrame, most: int, *order) -> DataFrame:
+    """(key, hub) of at most so many rows (key, rep): the rep that is greatest in the order, then smallest."""
     best = rows.groupBy("key").agg(F.max(F.struct(*order, (-F.col("rep")).alias("r"))).alias("h"))
-    return stash(best.select("key", (-F.col("h.r")).alias("hub")), "near-hubs")
+    return stash(best.select("key", (-F.col("h.r")).alias("hub")), "near-hubs", most)
 
 
 def _open(rows: DataFrame) -> DataFrame:
@@ -418,7 +419,8 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
     groups = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     busy = stash(bands.join(groups, "key"), "near-bands")
     company = busy.groupBy("rep").agg(F.sum("n").alias("company"))
-    hubs = _hubs(busy.join(company, "rep"), "company")
+    most = busy.count()
+    hubs = _hubs(busy.join(company, "rep"), most, "company")
     found = check(_star(busy, hubs))
     # What stars leave open: two members of a group, neither of them a hub, in different components.
     rows, before = busy.where("n > 2").select("key", "rep"), None
@@ -426,7 +428,7 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
         labels = components(found)
         spokes = rows.join(hubs, "key").where("rep <> hub").select("key", "rep", "hub")
         # Written first, so that a key's rows aren't bound to one task by the count of its labels.
-        rows = stash(_open(stash(_labelled(spokes, labels), "near-spokes")), "near-open")
+        rows = stash(_open(stash(_labelled(spokes, labels), "near-spokes", most)), "near-open", most)
         n = rows.count()
         if not n:
             return found
@@ -434,10 +436,10 @@ def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFram
             break
         # Another star in each, around a member that the last hub's component lacks.
         before, beside = n, _labelled(rows.select("key", "rep", "label", "hub"), labels, "hub", "held")
-        hubs = _hubs(beside.withColumn("apart", F.col("label") != F.col("held")), "apart")
-        found = stash(found.unionByName(check(_star(rows.select("key", "rep"), hubs))), "near-links")
+        hubs = _hubs(beside.withColumn("apart", F.col("label") != F.col("held")), n, "apart")
+        found = found.unionByName(check(_star(rows.select("key", "rep"), hubs)))
         rows = rows.select("key", "rep")
-    reps = stash(rows.select("rep", "label").distinct(), "near-open-reps")
+    reps = stash(rows.select("rep", "label").distinct(), "near-open-reps", n)
     sets = hashed_sets(reps.select(F.col("rep").alias("id")), docs, k)
     members = stash(reps.join(sets, "rep"), "near-sets")
     stars = stash(prefix_stars(members, percent), "near-stars")

@@ -58,7 +58,9 @@ def repeated_words(ws: Column, k: int = 5) -> Column:
 
     Windows are compared by a 64-bit hash within their one text; texts without a repeated
     hash, most of them, stop after one distinct()."""
-    hashes = F.when(F.size(ws) >= k, F.transform(F.sequence(F.lit(1), F.size(ws) - (k - 1)), lambda i: F.xxhash64(F.slice(ws, i, k)))).otherwise(F.array().cast("array<bigint>"))
+    each = F.transform(ws, lambda w: F.xxhash64(w))
+    windows = lambda h: F.slice(F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)])), 1, F.greatest(F.size(h) - (k - 1), F.lit(0)))
+    hashes = let(each, windows)
 
     def covered(sorted_pairs: Column) -> Column:
         twice = F.filter(sorted_pairs, lambda p, j: (F.get(sorted_pairs, j - 1)["h"] == p["h"]).__or__(F.get(sorted_pairs, j + 1)["h"] == p["h"]))
@@ -78,7 +80,7 @@ def base_statistics(docs: DataFrame, k: int = 5) -> DataFrame:
     """(doc_id, lang, source, n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words)."""
     t = only(docs, doc_id="doc_id", lang="lang", source="source", text=F.coalesce(docs["text"], F.lit("")))
     wordy = F.filter(F.split("text", "\n"), lambda x: F.rlike(x, F.lit(r"[^\x20\x09-\x0D]")))
-    t = t.withColumns({"ws": words(F.col("text")), "lines": wordy, "n_symbols": F.length(F.regexp_replace("text", "[^#*$%&|<>]+", "")).cast("long")})
+    t = t.withColumns({"ws": words(F.col("text")), "lines": wordy, "n_symbols": F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long")})
     return t.select(
         "doc_id", "lang", "source",
         F.size("ws").cast("long").alias("n_words"),
@@ -202,7 +204,11 @@ def concentrate(rows: DataFrame, estimate: DataFrame, target: list[list[float]],
     # One bin at most counts in part, so the order of summing doesn't matter.
     total = lambda c: F.coalesce(F.sum(F.when(F.col("_taken") == 1, F.col(c))), F.lit(0)) + F.coalesce(F.max(F.when(F.col("_taken") < 1, F.col(c) * F.col("_taken"))), F.lit(0.0))
     sums = parts.groupBy("gkey", "start").agg(*[total(c).alias(c) for c in names])
-    return stash(_estimate(sums, target, consistency(p, coverage)), "quality-estimates")
+    return _small(_estimate(sums, target, consistency(p, coverage)), "quality-estimates", few)
+
+
+def _small(df: DataFrame, label: str, few: bool) -> DataFrame:
+    return stash(df, label, (2 + DRAWS) * BROADCAST_GROUPS if few else None)
 
 
 def _best(estimate: DataFrame, n: int) -> DataFrame:
@@ -213,9 +219,9 @@ def _best(estimate: DataFrame, n: int) -> DataFrame:
 def mcd(rows: DataFrame, floor=FLOOR, coverage: float = COVERAGE, steps: int = STEPS, few: bool = False) -> DataFrame:
     """Per gkey of rows (gkey, doc_id, q0..): the estimate of least determinant."""
     p = len(floor)
-    sums = stash(rows.groupBy("gkey").agg(*_moments(p)), "quality-sums")
+    sums = _small(rows.groupBy("gkey").agg(*_moments(p)), "quality-sums", few)
     target = scatter_target(sums, floor)
-    estimate = stash(_estimate(_first_sums(rows, sums, p, few), target, 1.0), "quality-estimates")
+    estimate = _small(_estimate(_first_sums(rows, sums, p, few), target, 1.0), "quality-estimates", few)
     for _ in range(FIRST_STEPS):
         estimate = concentrate(rows, estimate, target, coverage, few)
     estimate = _best(estimate, BEST)
