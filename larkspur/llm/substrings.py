@@ -3,35 +3,42 @@
 A window of `window` words that also starts earlier (in a document of smaller id, or before
 in the same one) is a repeat; the words that repeats cover are removed. Candidates are found
 on a ladder of lengths, each twice the one below, up to the window: a window can only repeat
-if its parts do, so only what repeats at one length is extended to the next, and the ladder
-ends early where no candidate survives.
+if its parts do, so only what repeats at one length is extended to the next. Each rung is a
+job of its own: it reads the documents that still have candidates, with a bit per word for
+those, and writes them back; where no candidate survives, the ladder ends.
 
 Below the top a window stands in by one part: the one with the least hash among its parts of
-that length (equal windows choose equal parts), so a level looks at a sixth of all positions.
+that length (equal windows choose equal parts), so a rung looks at an eighth or a sixth of all
+positions.
 
-Documents are dealt into blocks by a hash of their id. At each level a block sends its
+Documents are dealt into blocks by a hash of their id. On each rung a block sends its
 distinct part hashes, packed, to buckets by hash; a bucket answers each block with one bit
 per hash: does it repeat? However often a passage repeats, a block names it once. At the top
 a hash goes with the smallest id that has it in the block, and the bit says whether another
-block has a smaller one. Texts are shuffled once; every level reads that same exchange.
+block has a smaller one. All texts are shuffled once, by the lowest rung; higher ones shuffle
+what has candidates left.
 
 Windows are compared by 64-bit hashes of their words; a false repeat needs a collision at
-the top between windows whose parts repeat on every level below.
+the top between windows whose parts repeat on every rung below.
 
 Defined results: null and empty texts have no words and lose none; texts shorter than the
-window lose none; null ids come last in order; rows of equal id stand in order of text;
-a table without repeats keeps all its texts unchanged; an empty table gives an empty table.
+window lose none; null ids come last, in an order by a hash of their text; rows of equal id
+stand in order of text; a table without repeats keeps all its texts unchanged; an empty table
+gives an empty table; other columns, whatever their names, are left alone.
 """
 
 from __future__ import annotations
 
+import functools
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from larkspur.llm.common import only, shuffle_parts, table, words
+from larkspur.llm.common import only, shuffle_parts, stash, table, words
 from larkspur.llm.wordhash import Words, mixed, pieces, words_of
 from larkspur.sources.shipping import ship
 
@@ -40,10 +47,10 @@ WINDOW = 20
 BLOCK_BYTES, BUCKET_BYTES = 6 << 20, 16 << 20
 _LAST = np.iinfo(np.int64).max
 _SENT = "bucket int, block int, hashes binary, twice binary, ids binary, base long"
-_ANSWER = "block int, level int, bucket int, bits binary"
+_ANSWER = "block int, bucket int, bits binary"
 
 
-def ladder(window: int, least: int = 10) -> list[int]:
+def ladder(window: int, least: int = 5) -> list[int]:
     """Lengths that double up to the window; the lowest is at least `least` where that can be."""
     out = [window]
     while out[0] % 2 == 0 and out[0] // 2 >= least:
@@ -69,45 +76,55 @@ def _slid(a: np.ndarray, m: int, op, fill, back: bool = False) -> np.ndarray:
 
 
 class Block:
-    """One block's documents, in order, with the state of each level."""
+    """One block's documents, in order, on one rung."""
 
-    def __init__(self, rows: pa.Table, window: int, levels: list[int]):
+    def __init__(self, rows: pa.Table, window: int, length: int):
         self.rows = rows.sort_by([("doc_id", "ascending"), ("text", "ascending")])
-        self.window, self.levels = window, levels
-        parts = [words_of(p.column("text")) for p in pieces(self.rows)]
-        self.words = parts
-        self.first = np.concatenate([[0], np.cumsum([n for w in parts for n in np.diff(w.first)])]).astype(np.int64)
-        self.alive = [w.whole(window) for w in parts]  # of each word: does a candidate window start here?
+        self.window, self.length = window, length
+        self.words = [words_of(p.column("text")) for p in pieces(self.rows)]
+        self.first = np.concatenate([[0], np.cumsum([n for w in self.words for n in np.diff(w.first)])]).astype(np.int64)
+        #: Of each word: does a candidate window start here?
+        if "alive" in rows.column_names:
+            alive = [np.unpackbits(np.frombuffer(x, np.uint8), count=n) for x, n in zip(self.rows.column("alive").to_pylist(), np.diff(self.first), strict=True)]
+            alive = np.concatenate([np.empty(0, np.uint8), *alive]).astype(bool)
+            ends = np.cumsum([len(w.hash) for w in self.words])
+            self.alive = [alive[e - len(w.hash) : e] for w, e in zip(self.words, ends, strict=True)]
+        else:
+            self.alive = [w.whole(window) for w in self.words]
 
-    def _stand_in(self, w: Words, alive: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    def _stand_in(self, w: Words, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The least part hash of each window, and which parts stand in for a candidate."""
-        h = w.windows(length)
-        m = self.window - length + 1
+        h = w.windows(self.length)
+        m = self.window - self.length + 1
         least = _slid(h, m, np.minimum, np.uint64(2**64 - 1))
         most = _slid(np.where(alive, least, np.uint64(0)), m, np.maximum, np.uint64(0), back=True)
         return least, (most == h) & (h != 0)
 
-    def sent(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct hashes of a level, whether each repeats here, and the smallest id that has it."""
-        length = self.levels[level]
-        if length < self.window:
-            found = [self._stand_in(w, a, length) for w, a in zip(self.words, self.alive, strict=True)]
+    def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes of this rung, whether each repeats here, and the smallest id that has it."""
+        none = np.empty(0, np.uint64)
+        if self.length < self.window:
+            found = [self._stand_in(w, a) for w, a in zip(self.words, self.alive, strict=True)]
             self.least = [x for x, _ in found]
-            h = np.concatenate([w.windows(length)[s] for w, (_, s) in zip(self.words, found, strict=True)] or [np.empty(0, np.uint64)])
+            h = np.concatenate([none, *(w.windows(self.length)[s] for w, (_, s) in zip(self.words, found, strict=True))])
             hashes, n = np.unique(h, return_counts=True)
             return hashes, n > 1, np.empty(0, np.int64)
-        self.at = np.flatnonzero(np.concatenate(self.alive or [np.empty(0, bool)]))
-        h = np.concatenate([w.windows(length)[a] for w, a in zip(self.words, self.alive, strict=True)] or [np.empty(0, np.uint64)])
+        self.at = np.flatnonzero(np.concatenate([np.empty(0, bool), *self.alive]))
+        h = np.concatenate([none, *(w.windows(self.length)[a] for w, a in zip(self.words, self.alive, strict=True))])
         hashes, first, self.which = np.unique(h, return_index=True, return_inverse=True)
         self.earliest = self.at[first]
         ids = np.asarray(self.rows.column("doc_id").fill_null(_LAST).combine_chunks(), np.int64)
         return hashes, np.zeros(len(hashes), bool), ids[np.searchsorted(self.first, self.earliest, "right") - 1]
 
-    def take(self, level: int, repeated: np.ndarray) -> None:
-        """Keeps the candidates whose part repeats; repeated: the hashes of this level that do."""
-        for i, least in enumerate(self.least):
+    def survivors(self, repeated: np.ndarray) -> list[bytes | None]:
+        """Of each document: the bits of the candidates whose part is among the repeated hashes, if any."""
+        out = []
+        for w, alive, least in zip(self.words, self.alive, self.least, strict=True):
             at = np.minimum(np.searchsorted(repeated, least), max(len(repeated) - 1, 0))
-            self.alive[i] &= repeated[at] == least if len(repeated) else False
+            stays = alive & (repeated[at] == least) if len(repeated) else np.zeros(len(alive), bool)
+            docs = (stays[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True))
+            out += [np.packbits(x).tobytes() if x.any() else None for x in docs]
+        return out
 
     def covered(self, elsewhere: np.ndarray) -> np.ndarray:
         """Of each word: do repeats cover it? elsewhere: of each distinct top hash, is it earlier in another block?"""
@@ -124,34 +141,27 @@ def _bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(hashes) % np.uint64(buckets)).astype(np.int64)
 
 
-def _replay(block: Block, answers: pa.Table, upto: int, buckets: list[int]) -> np.ndarray:
-    """Brings a block to level upto by the answers so far; the answer of the last level replayed."""
-    by_level: dict[int, dict[int, bytes]] = {}
-    for level, bucket, bits in zip(*(answers.column(c).to_pylist() for c in ("level", "bucket", "bits")), strict=True):
-        by_level.setdefault(level, {})[bucket] = bits
-    flag = np.empty(0, bool)
-    for level in range(upto):
-        hashes, twice, _ = block.sent(level)
-        flag, b = twice.copy(), _bucket(hashes, buckets[level])
-        order = np.argsort(b, kind="stable")
-        cuts = np.searchsorted(b[order], np.arange(buckets[level] + 1))
-        for bucket, bits in by_level.get(level, {}).items():
-            own = order[cuts[bucket] : cuts[bucket + 1]]
-            flag[own] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
-        if block.levels[level] < block.window:
-            block.take(level, hashes[flag])
-    return flag
+def _dealt(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of hashes by bucket, and where each bucket's begin in it."""
+    b = _bucket(hashes, buckets)
+    order = np.argsort(b, kind="stable")
+    return order, np.searchsorted(b[order], np.arange(buckets + 1))
 
 
-def _sender(window: int, levels: list[int], level: int, buckets: list[int]):
-    def run(key, rows, answers):
-        block = Block(rows, window, levels)
-        if level:
-            _replay(block, answers, level, buckets)
-        hashes, twice, ids = block.sent(level)
-        b = _bucket(hashes, buckets[level])
-        order = np.argsort(b, kind="stable")
-        cuts = np.searchsorted(b[order], np.arange(buckets[level] + 1))
+def _told(block: Block, answers: pa.Table, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The block's hashes on this rung, and what the buckets say of each."""
+    hashes, flag, _ = block.sent()
+    order, cuts = _dealt(hashes, buckets)
+    for bucket, bits in zip(answers.column("bucket").to_pylist(), answers.column("bits").to_pylist(), strict=True):
+        own = order[cuts[bucket] : cuts[bucket + 1]]
+        flag[own] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=len(own)).astype(bool)
+    return hashes, flag
+
+
+def _sender(window: int, length: int, buckets: int):
+    def run(key, rows):
+        hashes, twice, ids = Block(rows, window, length).sent()
+        order, cuts = _dealt(hashes, buckets)
         out: dict[str, list] = {c: [] for c in ("bucket", "block", "hashes", "twice", "ids", "base")}
         for bucket in np.flatnonzero(np.diff(cuts)).tolist():
             own = order[cuts[bucket] : cuts[bucket + 1]]
@@ -167,14 +177,7 @@ def _sender(window: int, levels: list[int], level: int, buckets: list[int]):
     return run
 
 
-def _alone(send):
-    def run(key, rows):
-        return send(key, rows, None)
-
-    return run
-
-
-def _answerer(level: int, top: bool):
+def _answerer(top: bool):
     def run(key, sent):
         hashes = [np.frombuffer(x, np.uint64) for x in sent.column("hashes").to_pylist()]
         every = np.concatenate(hashes)
@@ -206,15 +209,29 @@ def _answerer(level: int, top: bool):
         cuts = np.cumsum([0, *map(len, hashes)])
         out = [(block, np.packbits(back[a:b]).tobytes()) for block, a, b in zip(sent.column("block").to_pylist(), cuts[:-1].tolist(), cuts[1:].tolist(), strict=True) if back[a:b].any()]
         n = len(out)
-        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([level] * n, pa.int32()), pa.array([key[0].as_py()] * n, pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["block", "level", "bucket", "bits"])
+        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([key[0].as_py()] * n, pa.int32()), pa.array([x[1] for x in out], pa.binary())], ["block", "bucket", "bits"])
 
     return run
 
 
-def _remover(window: int, levels: list[int], buckets: list[int], schema: pa.Schema):
+def _marker(window: int, length: int, buckets: int, schema: pa.Schema):
+    """Rows with n_words and their candidates after this rung."""
+
     def run(key, rows, answers):
-        block = Block(rows, window, levels)
-        gone = block.covered(_replay(block, answers, len(levels), buckets))
+        block = Block(rows, window, length)
+        hashes, flag = _told(block, answers, buckets)
+        new = {"n_words": np.diff(block.first), "alive": block.survivors(hashes[flag])}
+        return pa.table([pa.array(new[f.name], f.type) if f.name in new else block.rows.column(f.name).cast(f.type) for f in schema], schema=schema)
+
+    return run
+
+
+def _remover(window: int, buckets: int, schema: pa.Schema):
+    """Rows without the words that repeats cover."""
+
+    def run(key, rows, answers):
+        block = Block(rows, window, window)
+        gone = block.covered(_told(block, answers, buckets)[1])
         texts, spans, n_words, n_removed, doc = [], [], [], [], 0
         originals = block.rows.column("text").to_pylist()
         for w in block.words:
@@ -240,34 +257,37 @@ def _remover(window: int, levels: list[int], buckets: list[int], schema: pa.Sche
     return run
 
 
-def dedup(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), least: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def dedup(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), least: int = 5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs (doc_id, text, and the columns of keep) with text cut, and n_words, n_removed, removed.
 
     text: unchanged where nothing goes, else the kept runs as they stood, a line each;
     removed: array<struct<start, end>>, spans of words of the input."""
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    spark, levels = docs.sparkSession, ladder(window, least)
+    spark = docs.sparkSession
     ship(spark)
     rows = only(docs, doc_id="doc_id", text="text", **{c: c for c in keep})
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = shuffle_parts(spark)
     blocks = max(parts, -(-total // block_bytes))
-    # At most 8 bytes for each of total / 5 words, a sixth of them below the top.
-    buckets = [max(parts, -(-(total * 8 // (5 if x == window else 30)) // BUCKET_BYTES)) for x in levels]
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int").alias("block"), *rows.columns)
-    grouped = lambda: dealt.groupBy("block")
-    answers = None
-    for level, length in enumerate(levels):
-        send = _sender(window, levels, level, buckets)
-        if answers is None:
-            sent = grouped().applyInArrow(_alone(send), _SENT)
-        else:
-            sent = grouped().cogroup(answers.groupBy("block")).applyInArrow(send, _SENT)
-        new = sent.groupBy("bucket").applyInArrow(_answerer(level, length == window), _ANSWER)
-        answers = new if answers is None else answers.unionByName(new)
-    schema = StructType([*rows.schema.fields, *StructType.fromDDL("n_words long, n_removed long, removed array<struct<start:int,end:int>>").fields])
-    return grouped().cogroup(answers.groupBy("block")).applyInArrow(_remover(window, levels, buckets, to_arrow_schema(schema)), schema)
+    out = StructType([*rows.schema.fields, *StructType.fromDDL("n_words long, n_removed long, removed array<struct<start:int,end:int>>").fields])
+    marked = StructType([*StructType.fromDDL("block int").fields, *rows.schema.fields, *StructType.fromDDL("n_words long, alive binary").fields])
+    key = F.coalesce("doc_id", F.xxhash64("text"))  # null ids don't meet in one block
+    left, done = rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), *rows.columns), []
+    for length in ladder(window, least):
+        # At most 8 bytes for each of total / 5 words, a sixth of them below the top.
+        buckets = max(parts, -(-(total * 8 // (5 if length == window else 30)) // BUCKET_BYTES))
+        sent = left.groupBy("block").applyInArrow(_sender(window, length, buckets), _SENT)
+        answers = sent.groupBy("bucket").applyInArrow(_answerer(length == window), _ANSWER)
+        both = left.groupBy("block").cogroup(answers.groupBy("block"))
+        if length == window:
+            done.append(both.applyInArrow(_remover(window, buckets, to_arrow_schema(out)), out))
+            break
+        rung = stash(both.applyInArrow(_marker(window, length, buckets, to_arrow_schema(marked)), marked), f"substrings-{length}")
+        whole = [F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:int,end:int>>").alias("removed")]
+        done.append(rung.where("alive IS NULL").select(*rows.columns, "n_words", *whole))
+        left = rung.where("alive IS NOT NULL")
+        if left.isEmpty():
+            break
+    return functools.reduce(DataFrame.unionByName, done)
 
 
 def op3_substring_dedup(spark, sf_dir):

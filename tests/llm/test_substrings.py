@@ -62,6 +62,30 @@ def test_nothing_repeats_and_no_rows(spark):
     assert substrings.dedup(spark.createDataFrame([], DOCS)).collect() == []
 
 
+def test_the_ladder_ends_where_nothing_survives(spark, monkeypatch):
+    rungs = []
+    monkeypatch.setattr(substrings, "_sender", lambda window, length, buckets, old=substrings._sender: rungs.append(length) or old(window, length, buckets))
+    unique = [(i, " ".join(f"w{i}x{j}" for j in range(50))) for i in range(6)]
+    compare(spark, unique)
+    assert rungs == [5]
+    rungs.clear()
+    # Seven words are shared, so no window's parts of ten repeat; then twelve, so its windows of twenty don't.
+    passage = [f"p{j}" for j in range(30)]
+    compare(spark, [(i, " ".join(f"a{i}x{j}" for j in range(30)) + " " + " ".join(passage[:7] + [f"b{i}x{j}" for j in range(30)])) for i in range(3)])
+    assert rungs[:1] == [5] and 20 not in rungs
+    rungs.clear()
+    compare(spark, unique + [(10 + i, " ".join(passage)) for i in range(3)])
+    assert rungs == [5, 10, 20]
+
+
+def test_null_ids(spark):
+    shared = " ".join(f"p{j}" for j in range(30))
+    df = spark.createDataFrame([(None, f"u{i} v{i} " + shared, "en", "s", 0) for i in range(40)] + [(None, shared, "en", "s", 0)] * 2, DOCS).repartition(4)
+    got = substrings.dedup(df).collect()
+    assert len(got) == 42 and sorted(r.n_removed for r in got) == [0] + [30] * 41
+    assert sorted(r.n_words for r in got) == [30, 30] + [32] * 40
+
+
 def test_untouched_texts_stay_as_they_are_and_null_ids_are_last(spark):
     p = " ".join(f"p{j}" for j in range(25))
     df = spark.createDataFrame([(1, "  odd \n\n spacing ", "en", "s", 0), (None, p, "en", "s", 0), (2, "keep  this\n" + p, "en", "s", 0), (3, p + " and\tthat", "en", "s", 0)], DOCS)
@@ -71,7 +95,7 @@ def test_untouched_texts_stay_as_they_are_and_null_ids_are_last(spark):
 
 
 def test_ladder():
-    assert substrings.ladder(20) == [10, 20] and substrings.ladder(40, 5) == [5, 10, 20, 40] and substrings.ladder(7) == [7]
+    assert substrings.ladder(20) == [5, 10, 20] and substrings.ladder(20, 10) == [10, 20] and substrings.ladder(40, 5) == [5, 10, 20, 40] and substrings.ladder(7) == [7]
 
 
 def test_word_hashes(monkeypatch):
