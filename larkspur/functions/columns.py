@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import decimal
+import re
+import unicodedata
 from typing import Any
 
 from pyspark.sql import Column
@@ -84,38 +86,66 @@ def sql_literal(value: Any) -> str:
     raise LarkspurError(f"{type(value).__name__} can't be a parameter")
 
 
+#: Of Spark SQL's text: comments, quoted names, and strings, raw or with escapes; and what may be a parameter.
+_PIECES = re.compile(
+    r"""(?P<skip>--[^\n]*|/\*.*?(?:\*/|\Z)|`[^`]*`|(?<![A-Za-z0-9_])[rR](?:'[^']*'|"[^"]*")|'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*")|(?P<mark>\?)""",
+    re.DOTALL,
+)
+
+
 def bound_sql(sql: str, params: tuple) -> str:
     """sql with its ? replaced by parameters, but for those in quotes and comments."""
-    out, left, quote, i = [], list(params), "", 0
-    while i < len(sql):
-        c = sql[i]
-        if quote:
-            quote = "" if c == quote else quote
-        elif c in "'\"`":
-            quote = c
-        elif c == "?":
-            if not left:
-                raise LarkspurError("raw: more ? than parameters")
-            c = sql_literal(left.pop(0))
-        out.append(c)
-        i += 1
+    left = list(params)
+
+    def put(m: re.Match) -> str:
+        if m["skip"] is not None:
+            return m["skip"]
+        if not left:
+            raise LarkspurError("raw: more ? than parameters")
+        return sql_literal(left.pop(0))
+
+    out = _PIECES.sub(put, sql)
     if left:
         raise LarkspurError("raw: more parameters than ?")
-    return "".join(out)
+    return out
+
+
+def _marked_letters() -> dict[str, str]:
+    """Lower-case Latin, Greek and Cyrillic letters that decompose into a letter and marks, by that letter."""
+    out = {}
+    for c in map(chr, range(0xC0, 0x2000)):
+        base, *marks = unicodedata.normalize("NFD", c)
+        if marks and c == c.lower() and all(unicodedata.combining(m) for m in marks) and unicodedata.name(base, "").startswith(("LATIN", "GREEK", "CYRILLIC")):
+            out[c] = base
+    return out
+
+
+_LETTERS = _marked_letters()
+#: Letters with marks and their plain letters, for tokenizing.
+MARKED, PLAIN_ = "".join(_LETTERS), "".join(_LETTERS.values())
+#: Marks that stand on their own after a letter.
+MARKS = "\u0300-\u036f"
+
+
+def folded(text: Column) -> Column:
+    """Lower case without marks."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    # Most of the work is only for texts that have other than ASCII characters.
+    return F.when(F.rlike(low, F.lit(r"[^\x00-\x7F]")), F.regexp_replace(F.translate(low, MARKED, PLAIN_), f"[{MARKS}]+", "")).otherwise(low)
 
 
-#: Letters with marks and their plain letters, for tokenizing: fixed values.
-MARKED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿāăąćĉċčďēĕėęěĝğġģĥĩīĭįĵķĺļľńņňōŏőŕŗřśŝşšţťũūŭůűųŵŷźżž"
-PLAIN_ = "aaaaaaceeeeiiiinooooouuuuyyaaaccccdeeeeegggghiiiijklllnnnooorrrssssttuuuuuuwyzzz"
+def folded_text(text: str) -> str:
+    """The same on the driver."""
+    out = text.lower().translate(str.maketrans(MARKED, PLAIN_))
+    return re.sub(f"[{MARKS}]+", "", out)
 
 
 def tokens(text: Column, kind: str = "words") -> Column:
     """The array of tokens: case-folded runs of letters and digits without marks, or trigrams."""
-    folded = F.translate(F.lower(F.coalesce(text, F.lit(""))), MARKED, PLAIN_)
+    plain = folded(text)
     if kind == "trigram":
-        n = F.length(folded)
-        return F.when(n >= 3, F.transform(F.sequence(F.lit(1), F.greatest(n - 2, F.lit(1))), lambda i: F.substring(folded, i, F.lit(3)))).otherwise(F.array().cast("array<string>"))
-    return F.array_remove(F.split(folded, r"[^\p{L}\p{N}]+"), "")
+        return let(plain, lambda t: F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
+    return F.array_remove(F.split(plain, r"[^\p{L}\p{N}]+"), "")
 
 
 def let(value: Column, body) -> Column:

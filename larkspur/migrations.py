@@ -66,7 +66,7 @@ def reindex(ws: Workspace, table: str | None = None, index: str | None = None, c
             # Rows sorted by the indexed columns let scans skip by the files' minima and maxima.
             out[t] = ws.frame(t).repartitionByRange(*dict.fromkeys(hints)).sortWithinPartitions(*dict.fromkeys(hints))
     if out:
-        ws.put(out)
+        ws.put(out, same_rows=True)
     return list(out)
 
 

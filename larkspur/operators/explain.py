@@ -11,7 +11,7 @@ def explain_rows(df: DataFrame) -> list[dict]:
     rows: list[dict] = []
 
     def walk(plan, parent: int) -> None:
-        rows.append({"id": len(rows) + 1, "parent": parent, "notused": 0, "detail": plan.simpleString(100)})
+        rows.append({"id": len(rows) + 1, "parent": parent, "notused": 0, "detail": plan.simpleString(1000)})
         own = len(rows)
         children = plan.children()
         for i in range(children.size()):

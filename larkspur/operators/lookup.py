@@ -4,7 +4,8 @@ The base is filtered, sorted and paged before anything is joined, since lookups
 nor drop base rows. A page's rows, MOST_LIMIT at most, are fetched first, so that its keys
 reach the related tables' scans as a pushed filter. To-many sides are aggregated on their
 own, so several lookups never multiply each other; a to-one side is reduced to its first
-match, unless its key is declared unique.
+match, unless its key is declared unique: first by the related table's primary key, and where
+it has none by its columns in order.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ MOST_LOOKUPS = 10
 
 @dataclass(frozen=True)
 class Lookup:
-    """strict: a to-one lookup takes the first match (by the foreign columns in order); else all."""
+    """strict: a to-one lookup takes the first match, by the related table's key; else all."""
 
     from_: str
     local_field: str
@@ -83,9 +84,9 @@ def validate(lookups: Sequence[Lookup | Mapping], base: DataFrame) -> list[Looku
     return out
 
 
-def populate(base: DataFrame, lookups: Sequence[Lookup], frame: Callable[[str], DataFrame], unique: Callable[[str, str], bool] = lambda table, field: False, keys: Sequence[list] | None = None) -> DataFrame:
+def populate(base: DataFrame, lookups: Sequence[Lookup], frame: Callable[[str], DataFrame], unique: Callable[[str, str], bool] = lambda table, field: False, keys: Sequence[list] | None = None, key_of: Callable[[str], str | None] = lambda table: None) -> DataFrame:
     """base with a column per lookup. unique: whether a table's field has one row per value at most;
-    keys: for each lookup the only values that base has."""
+    keys: for each lookup the only values that base has; key_of: a table's primary key."""
     names = base.columns
     local = {f"_l{i}": x.local_field for i, x in enumerate(lookups)}
     out = base.select(*[quoted(c) for c in names], *[quoted(c).alias(k) for k, c in local.items()])
@@ -101,8 +102,10 @@ def populate(base: DataFrame, lookups: Sequence[Lookup], frame: Callable[[str],
         if x.single and (not x.strict or unique(x.from_, x.foreign_field)):
             side = side.select(quoted(x.foreign_field).alias(key), payload.alias(made))
         elif x.single:
-            # The first match by the columns in order: min over structs is one partial aggregation.
-            plain = [c for c in foreign.columns if not isinstance(foreign.schema[c].dataType, T.MapType)]
+            # The first match: min over structs is one partial aggregation. Ties of the key go by the
+            # selected columns, so that no others are read.
+            pk = key_of(x.from_)
+            plain = [c for c in ([pk, *fields] if pk in foreign.columns else foreign.columns) if not isinstance(foreign.schema[c].dataType, T.MapType)]
             rank = F.struct(*[quoted(c).alias(f"o{n}") for n, c in enumerate(plain)])
             side = side.groupBy(quoted(x.foreign_field).alias(key)).agg(F.min(F.struct(rank.alias("r"), payload.alias("p"))).alias("m")).select(key, F.col("m.p").alias(made))
         else:
@@ -119,7 +122,7 @@ def populate(base: DataFrame, lookups: Sequence[Lookup], frame: Callable[[str],
     return out.select(*[quoted(c) for c in names], *[F.col(f"_p{i}").alias(x.key) for i, x in enumerate(lookups)])
 
 
-def lookup_page(base: DataFrame, lookups: Sequence[Lookup | Mapping], frame: Callable[[str], DataFrame], pk: str, flt: Any = None, sort: Any = None, select: Any = None, page: Any = 1, limit: Any = None, count: str = "exact", unique: Callable[[str, str], bool] = lambda table, field: False) -> Page:
+def lookup_page(base: DataFrame, lookups: Sequence[Lookup | Mapping], frame: Callable[[str], DataFrame], pk: str, flt: Any = None, sort: Any = None, select: Any = None, page: Any = 1, limit: Any = None, count: str = "exact", unique: Callable[[str, str], bool] = lambda table, field: False, key_of: Callable[[str], str | None] = lambda table: None) -> Page:
     specs = validate(lookups, base)
     keys = sort_keys(sort, pk)
     paged = offset_page(where(base, flt), keys, pk, page, limit, count, least_pages=1)
@@ -129,15 +132,15 @@ def lookup_page(base: DataFrame, lookups: Sequence[Lookup | Mapping], frame: Cal
     fetched = rows.collect()
     cut = base.sparkSession.createDataFrame(fetched, rows.schema)
     values = [sorted({r[x.local_field] for r in fetched if r[x.local_field] is not None}) for x in specs]
-    out = populate(cut, specs, frame, unique, values)
+    out = populate(cut, specs, frame, unique, values, key_of)
     paged.docs = offset_frame(out, keys, pk, 1, paged.limit).select(*[quoted(c) for c in names], *[quoted(x.key) for x in specs])
     return paged
 
 
-def lookup_frame(base: DataFrame, lookups: Sequence[Lookup | Mapping], frame: Callable[[str], DataFrame], pk: str, flt: Any = None, select: Any = None, unique: Callable[[str, str], bool] = lambda table, field: False) -> DataFrame:
+def lookup_frame(base: DataFrame, lookups: Sequence[Lookup | Mapping], frame: Callable[[str], DataFrame], pk: str, flt: Any = None, select: Any = None, unique: Callable[[str, str], bool] = lambda table, field: False, key_of: Callable[[str], str | None] = lambda table: None) -> DataFrame:
     """All base rows with their lookups, lazily."""
     specs = validate(lookups, base)
     names = selected(select, base.columns, pk)
     rows = where(base, flt).select(*[quoted(c) for c in dict.fromkeys([*names, *[x.local_field for x in specs]])])
-    return populate(rows, specs, frame, unique).select(*[quoted(c) for c in names], *[quoted(x.key) for x in specs])
+    return populate(rows, specs, frame, unique, None, key_of).select(*[quoted(c) for c in names], *[quoted(x.key) for x in specs])
 

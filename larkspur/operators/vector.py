@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,23 +13,30 @@ from larkspur.errors import LarkspurError
 
 METRICS = ("cosine", "l2", "l1", "hamming")
 MOST_DIMS = 4096
+#: Up to so many dimensions the sums are written out, element by element.
+WRITTEN_OUT = 256
 
 
 def distance(embedding: Column, query: Sequence[float], metric: str = "cosine") -> Column:
-    """The distance of an array column to a literal vector, in doubles. Straight-line arithmetic
-    over the elements, so it stays in generated code."""
+    """The distance of an array column to a literal vector, in doubles, summed in order. Up to
+    WRITTEN_OUT dimensions it is straight-line arithmetic that stays in generated code."""
     if metric not in METRICS:
         raise LarkspurError(f"no metric {metric!r}; one of {', '.join(METRICS)}")
-    e, q = embedding.cast("array<double>"), F.array(*[F.lit(float(x)) for x in query])
-    total = lambda a: F.aggregate(a, F.lit(0.0), lambda s, x: s + x)
+    values = [float(x) for x in query]
+    if len(values) <= WRITTEN_OUT:
+        pairs = [(F.get(embedding, F.lit(i)).cast("double"), F.lit(x)) for i, x in enumerate(values)]
+        total = lambda one: reduce(add, (one(a, b) for a, b in pairs), F.lit(0.0))
+    else:
+        e, q = embedding.cast("array<double>"), F.array(*map(F.lit, values))
+        total = lambda one: F.aggregate(F.zip_with(e, q, one), F.lit(0.0), lambda s, x: s + x)
     if metric == "cosine":
-        norm = sum(float(x) ** 2 for x in query) ** 0.5
-        return 1 - total(F.zip_with(e, q, lambda a, b: a * b)) / (F.sqrt(total(F.transform(e, lambda a: a * a))) * F.lit(norm))
+        norm = sum(x * x for x in values) ** 0.5
+        return 1 - total(lambda a, b: a * b) / (F.sqrt(total(lambda a, b: a * a)) * F.lit(norm))
     if metric == "l2":
-        return F.sqrt(total(F.zip_with(e, q, lambda a, b: (a - b) * (a - b))))
+        return F.sqrt(total(lambda a, b: (a - b) * (a - b)))
     if metric == "l1":
-        return total(F.zip_with(e, q, lambda a, b: F.abs(a - b)))
-    return total(F.zip_with(e, q, lambda a, b: F.when(a != b, 1.0).otherwise(0.0)))
+        return total(lambda a, b: F.abs(a - b))
+    return total(lambda a, b: F.when(a != b, 1.0).otherwise(0.0))
 
 
 def nearest(vectors: DataFrame, query: Sequence[float], k: int, metric: str = "cosine", id_: str = "rowid", embedding: str = "embedding") -> DataFrame:

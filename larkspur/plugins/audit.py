@@ -6,12 +6,14 @@ from collections.abc import Callable
 from typing import Any
 
 from larkspur.hooks import OBSERVABILITY
+from larkspur.sources.store import Delta
 
 SCHEMA = "resource string, action string, timestamp string, document_id string, actor_id string, organization_id string, after string"
 
 
 class Audit:
-    """sink: takes each entry; entries are kept and offered as a DataFrame either way."""
+    """sink: takes each entry; entries are kept and offered as a DataFrame either way. The driver
+    holds up to `most` of them; older ones are moved to the table <resource>_audit."""
 
     ACTIONS = ("create", "update", "delete", "restore", "find_one_and_update")
 
@@ -41,16 +43,28 @@ class Audit:
             if self.organization and (o := self.organization()) is not None:
                 entry["organization_id"] = o
             self.entries.append(entry)
-            # The driver keeps a bounded tail; a sink gets them all.
-            del self.entries[: -self.most]
             if self.sink:
                 self.sink(entry)
+            if len(self.entries) > self.most and not repo.ws.in_transaction:
+                spill()
 
         for op in self.ACTIONS:
             repo.hooks.on(f"after:{op}", note, OBSERVABILITY)
 
-        def frame():
+        kept = f"{repo.name}_audit"
+
+        def held():
             keys = ("resource", "action", "timestamp", "document_id", "actor_id", "organization_id")
             return repo.ws.spark.createDataFrame([(*(e.get(k) for k in keys), json.dumps(e["after"], default=str, sort_keys=True) if "after" in e else None) for e in self.entries], SCHEMA)
 
+        def spill() -> None:
+            if repo.ws.has(kept):
+                repo.ws.change(kept, Delta(held()), repo.ws.frame(kept).unionByName(held()), "document_id")
+            else:
+                repo.ws.put({kept: held()})
+            self.entries.clear()
+
+        def frame():
+            return repo.ws.frame(kept).unionByName(held()) if repo.ws.has(kept) else held()
+
         repo.audit_frame = frame

@@ -30,7 +30,7 @@ class Compaction:
             tell("started")
             try:
                 df = repo.df
-                repo._put(df.coalesce(files) if files else df.repartition())
+                repo.ws.put({repo._name: df.coalesce(files) if files else df.hint("rebalance")}, same_rows=True)
                 out = repo.ws.store.compact(self.keep)
             except Exception as e:
                 tell("error", error=str(e))

@@ -1,8 +1,9 @@
 """The repository: CRUD, paging, aggregation, lookups and bulk writes on one table, with hooks.
 
 Reads that return many rows return lazy DataFrames; pages and single rows are the only
-places that run jobs. Writes make a new version of the table: a projection for updates, a
-filter for deletes, a union for inserts; constraints are checked before it is committed.
+places that run jobs. A write hands the store the rows that come and the keys that go, and the
+table after it as a lazy DataFrame: a projection for updates, a filter for deletes, a union for
+inserts. Stores in files write the former, as a layer; constraints are checked before that.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from collections.abc import Callable, Iterator, Mapping, Sequence
 from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.errors import ConstraintError, DuplicateKeyError, LarkspurError
+from larkspur.functions.columns import literal
 from larkspur.hooks import Context, Hooks
 from larkspur.operators import aggregate as agg
 from larkspur.operators import explain as _explain
@@ -22,6 +25,7 @@ from larkspur.operators import lookup as lk
 from larkspur.operators import paging
 from larkspur.plans import filters as f
 from larkspur.plans.compiler import Update, compile_filter, ordering, quoted, resolve, sort_keys, where, with_tiebreak
+from larkspur.sources.store import Delta
 from larkspur.sources.tables import TableDef
 from larkspur.sources.workspace import Workspace
 
@@ -54,8 +58,9 @@ class Repository:
     def df(self) -> DataFrame:
         return self.ws.frame(self._name)
 
-    def _put(self, df: DataFrame) -> None:
-        self.ws.put({self._name: df})
+    def _merge(self, whole: DataFrame, rows: DataFrame | None = None, gone: DataFrame | None = None) -> None:
+        """whole: the table with rows in place of those whose keys are gone."""
+        self.ws.change(self._name, Delta(rows, gone), whole, self.table.pk)
 
     def _ctx(self, op: str, flt: Any = None, **more: Any) -> Context:
         return Context(op, f.as_filter(flt), **more)
@@ -105,10 +110,19 @@ class Repository:
         resolve(self.df.schema, field, "distinct")
         return self.scoped("distinct", flt, **options).select(quoted(field)).distinct()
 
-    def distinct(self, field: str, flt: Any = None, **options: Any) -> list:
+    def distinct(self, field: str, flt: Any = None, limit: int | None = None, offset: int = 0, **options: Any) -> list:
+        """The distinct values as a list, all or a page of them in order; distinct_frame() for more
+        than a driver holds."""
         resolve(self.df.schema, field, "distinct")
-        run = lambda c: [r[0] for r in where(self.df, c.filter).select(quoted(field)).distinct().collect()]
-        return self.hooks.around(self._ctx("distinct", flt, options=options | {"field": field}), run)
+
+        def run(c: Context) -> list:
+            values = where(self.df, c.filter).select(quoted(field)).distinct()
+            if limit is not None or offset:
+                values = values.orderBy(quoted(field).asc_nulls_first()).offset(offset)
+                values = values if limit is None else values.limit(limit)
+            return [r[0] for r in values.collect()]
+
+        return self.hooks.around(self._ctx("distinct", flt, options=options | {"field": field, "limit": limit, "offset": offset}), run)
 
     def get_all(self, filters: Any = None, sort: Any = None, page: Any = 1, limit: Any = None, count: str = "exact", after: str | None = None, select: Any = None, filter: Any = None, keyset: bool = False, search: str | None = None, **options: Any):
         """A page: by offset, or by keyset where a cursor or keyset=True is given."""
@@ -151,21 +165,27 @@ class Repository:
     def _related(self, name: str) -> DataFrame:
         return self.registry[name] if name in self.registry else self.ws.frame(name)
 
+    def _key_of(self, name: str) -> str | None:
+        t = None if name in self.registry else self.ws.tables.get(name)
+        return t and t.pk
+
     def _declared_unique(self, name: str, field: str) -> bool:
         t = None if name in self.registry else self.ws.tables.get(name)
         return t is not None and (field == t.pk or (field,) in t.unique)
 
     def lookup_populate(self, lookups: Sequence[Any], filters: Any = None, sort: Any = None, select: Any = None, page: Any = 1, limit: Any = None, count: str = "exact", **options: Any) -> paging.Page:
-        run = lambda c: lk.lookup_page(self.df, lookups, self._related, self.id_field, c.filter, sort, select, page, limit, count, self._declared_unique)
+        run = lambda c: lk.lookup_page(self.df, lookups, self._related, self.id_field, c.filter, sort, select, page, limit, count, self._declared_unique, self._key_of)
         return self.hooks.around(self._ctx("lookup_populate", filters, options=options | {"lookups": lookups, "sort": sort, "page": page, "limit": limit, "select": select}), run)
 
     def lookup_frame(self, lookups: Sequence[Any], filters: Any = None, select: Any = None, **options: Any) -> DataFrame:
         """All rows with their lookups, lazily."""
-        run = lambda c: lk.lookup_frame(self.df, lookups, self._related, self.id_field, c.filter, select, self._declared_unique)
+        run = lambda c: lk.lookup_frame(self.df, lookups, self._related, self.id_field, c.filter, select, self._declared_unique, self._key_of)
         return self.hooks.around(self._ctx("lookup_populate", filters, options=options | {"lookups": lookups, "select": select}), run)
 
-    def explain(self, flt: Any = None) -> list[dict]:
-        return _explain.explain_rows(where(self.df, flt))
+    def explain(self, flt: Any = None, aggregate: agg.AggRequest | None = None) -> list[dict]:
+        """The plan of the matching rows, or of an aggregation over them, as rows."""
+        rows = where(self.df, flt)
+        return _explain.explain_rows(rows if aggregate is None else agg.aggregate(rows, aggregate))
 
     def prepared(self, name: str, build: Callable[..., DataFrame] | str) -> Prepared:
         """A named query, ready to run with parameters: Spark SQL over {table}, or a function of them."""
@@ -190,9 +210,10 @@ class Repository:
                 if r[t.pk] is None:
                     top += 1
                     r[t.pk] = top
-        new = df.unionByName(t.frame(self.ws.spark, whole))
+        fresh = t.frame(self.ws.spark, whole)
+        new = df.unionByName(fresh)
         self.ws.check_unique(t, new, whole)
-        self._put(new)
+        self._merge(new, fresh)
         return whole
 
     def create(self, data: Mapping[str, Any], **options: Any) -> dict:
@@ -231,7 +252,8 @@ class Repository:
         if not columns:
             return
         hit = F.coalesce(compile_filter(flt, df.schema), F.lit(False))
-        new = df.withColumns({k: F.when(hit, v.cast(df.schema[k].dataType)).otherwise(quoted(k)) for k, v in columns.items()})
+        after = {k: v.cast(df.schema[k].dataType) for k, v in columns.items()}
+        new = df.withColumns({k: F.when(hit, v).otherwise(quoted(k)) for k, v in after.items()})
         for k, v in columns.items():
             c, v = self.table.columns[k], v.cast(df.schema[k].dataType)
             broken = F.lit(False) if c.nullable else v.isNull()
@@ -240,7 +262,8 @@ class Repository:
             if (c.enum or not c.nullable) and not df.where(hit & broken).limit(1).isEmpty():
                 raise ConstraintError(f"{self._name}.{k}: the new value isn't allowed")
         self.ws.check_unique(self.table, new, columns={*columns})
-        self._put(new)
+        rows = df.where(hit)
+        self._merge(new, rows.withColumns(after), rows.select(quoted(self.table.pk)))
 
     def update(self, id_: Any, data: Update | Mapping[str, Any], scope: Any = None, **options: Any) -> dict | None:
         """The row as it is after the update, or None if there is none."""
@@ -302,7 +325,7 @@ class Repository:
         hit = F.coalesce(compile_filter(flt, df.schema), F.lit(False))
         n = df.where(hit).count()
         if n:
-            self._put(df.where(~hit))
+            self._merge(df.where(~hit), gone=df.where(hit).select(quoted(self.table.pk)))
         return n
 
     def delete(self, id_: Any, scope: Any = None, mode: str | None = None, **options: Any) -> dict:
@@ -346,49 +369,132 @@ class Repository:
         out: dict[str, Any] = {"inserted_count": 0, "matched_count": 0, "modified_count": 0, "deleted_count": 0, "upserted_count": 0, "inserted_ids": {}, "upserted_ids": {}}
         if not ops:
             return out
+        steps = [self._step(i, op) for i, op in enumerate(ops)]
         with self._atomic():
-            for i, op in enumerate(ops):
-                (kind, spec), *more = op.items()
-                if more:
-                    raise LarkspurError(f"operation {i}: one kind at a time")
-                if kind == "insert_one":
-                    out["inserted_ids"][i] = self._insert([spec["document"]])[0][self.table.pk]
-                    out["inserted_count"] += 1
-                elif kind in ("update_one", "replace_one"):
-                    values = spec["update" if kind == "update_one" else "replacement"]
-                    if isinstance(values, (list, tuple, Update)):
-                        raise LarkspurError("bulk_write takes flat records")
-                    row = self._row(self._ordered(where(self.df, spec["filter"]), None))
-                    if row is not None:
-                        self._change(self._by_id(row[self.id_field]), Update.of(values))
-                        out["matched_count"] += 1
-                        out["modified_count"] += 1
-                    elif spec.get("upsert"):
-                        out["upserted_ids"][i] = self._insert([{**f.flat_record(spec["filter"]), **values}])[0][self.table.pk]
-                        out["upserted_count"] += 1
-                elif kind == "update_many":
-                    if f.is_true(f.as_filter(spec["filter"])):
-                        raise LarkspurError("update_many: an empty filter is refused")
-                    n = where(self.df, spec["filter"]).count()
-                    if n:
-                        self._change(f.as_filter(spec["filter"]), Update.of(spec["update"]))
-                    out["matched_count"] += n
-                    out["modified_count"] += n
-                elif kind == "delete_one":
-                    row = self._row(self._ordered(where(self.df, spec["filter"]), None))
-                    out["deleted_count"] += self._remove(self._by_id(row[self.id_field])) if row else 0
-                elif kind == "delete_many":
-                    if f.is_true(f.as_filter(spec["filter"])):
-                        raise LarkspurError("delete_many: an empty filter is refused")
-                    out["deleted_count"] += self._remove(f.as_filter(spec["filter"]))
+            at = 0
+            while at < len(steps):
+                # Operations on rows named by their key are folded: one read and one write for a run of them.
+                end = at
+                while end < len(steps) and steps[end][3] is not None:
+                    end += 1
+                if end > at:
+                    self._fold(steps[at:end], out)
+                    at = end
                 else:
-                    raise LarkspurError(f"operation {i}: no kind {kind!r}")
+                    self._single(*steps[at][:3], out)
+                    at += 1
         return out
 
+    def _step(self, i: int, op: Mapping[str, Mapping]) -> tuple[int, str, Mapping, list | None]:
+        """(place, kind, spec, keys): keys of the rows it is about, where nothing else tells them."""
+        (kind, spec), *more = op.items()
+        if more:
+            raise LarkspurError(f"operation {i}: one kind at a time")
+        if kind not in ("insert_one", "update_one", "replace_one", "update_many", "delete_one", "delete_many"):
+            raise LarkspurError(f"operation {i}: no kind {kind!r}")
+        if kind in ("update_one", "replace_one") and isinstance(spec["update" if kind == "update_one" else "replacement"], (list, tuple, Update)):
+            raise LarkspurError("bulk_write takes flat records")
+        if kind in ("update_many", "delete_many") and f.is_true(f.as_filter(spec["filter"])):
+            raise LarkspurError(f"{kind}: an empty filter is refused")
+        pk, flt = self.table.pk, f.as_filter(spec.get("filter"))
+        named = spec["document"].get(pk) if kind == "insert_one" else flt.value if isinstance(flt, f.Compare) and (flt.op, flt.field) == ("eq", pk) else None
+        parts = [spec[part] for part in ("update", "replacement", "document") if part in spec]
+        plain = named is not None and not any(isinstance(p, Update) or any(isinstance(v, Column) for v in p.values()) for p in parts)
+        return i, kind, spec, [named] if plain and not isinstance(named, Column) else None
+
+    def _fold(self, steps: Sequence[tuple[int, str, Mapping, list]], out: dict[str, Any]) -> None:
+        """Operations by key, in order: their rows are read once, changed here and written once."""
+        t, pk, df = self.table, self.table.pk, self.df
+        fit = int if isinstance(df.schema[pk].dataType, T.IntegralType) else str if isinstance(df.schema[pk].dataType, T.StringType) else lambda k: k
+        found = df.where(quoted(pk).isin([*{fit(k) for *_, ks in steps for k in ks}])).collect()
+        old = {r[pk]: r.asDict(True) for r in found}
+        if len(old) < len(found):  # keys that aren't unique
+            for step in steps:
+                self._single(*step[:3], out)
+            return
+        now, inserted = dict(old), False
+
+        def insert(row: Mapping[str, Any]) -> dict:
+            whole = t.complete(row)
+            if fit(whole[pk]) in now:
+                raise DuplicateKeyError(self._name, [pk])
+            now[fit(whole[pk])] = whole
+            return whole
+
+        for i, kind, spec, (key,) in steps:
+            key = fit(key)
+            values = spec.get("replacement" if kind == "replace_one" else "update", {})
+            if kind == "insert_one":
+                out["inserted_ids"][i] = insert(spec["document"])[pk]
+                out["inserted_count"], inserted = out["inserted_count"] + 1, True
+            elif kind.startswith("delete"):
+                out["deleted_count"] += now.pop(key, None) is not None
+            elif key in now:
+                for c in values:
+                    resolve(df.schema, c, "update")
+                now[key] = self._allowed(now[key] | {c: v for c, v in values.items() if c != pk}, values)
+                out["matched_count"] += 1
+                out["modified_count"] += 1
+            elif spec.get("upsert") and kind.endswith("_one"):
+                out["upserted_ids"][i] = insert({pk: key, **values})[pk]
+                out["upserted_count"], inserted = out["upserted_count"] + 1, True
+        gone = [k for k in old if now.get(k) != old[k]]
+        rows = [r for k, r in now.items() if r != old.get(k)]
+        if not gone and not rows:
+            return
+        fresh = _typed(self.ws.spark, rows, t)
+        left = df.where(~F.coalesce(quoted(pk).isin(gone), F.lit(False))) if gone else df
+        new = left.unionByName(fresh)
+        self.ws.check_unique(t, new, rows, None if inserted else {c for r in rows for c in r if r[c] != old[fit(r[pk])][c]})
+        self._merge(new, fresh if rows else None, df.where(quoted(pk).isin(gone)).select(quoted(pk)) if gone else None)
+
+    def _allowed(self, row: dict, changed: Mapping) -> dict:
+        for k in changed:
+            c = self.table.columns[k]
+            if row[k] is None and not c.nullable or row[k] is not None and c.enum and row[k] not in c.enum:
+                raise ConstraintError(f"{self._name}.{k}: the new value isn't allowed")
+        return row
+
+    def _single(self, i: int, kind: str, spec: Mapping, out: dict[str, Any]) -> None:
+        """One operation whose rows a filter tells."""
+        if kind == "insert_one":
+            out["inserted_ids"][i] = self._insert([spec["document"]])[0][self.table.pk]
+            out["inserted_count"] += 1
+        elif kind in ("update_one", "replace_one"):
+            values = spec["update" if kind == "update_one" else "replacement"]
+            row = self._row(self._ordered(where(self.df, spec["filter"]), None))
+            if row is not None:
+                self._change(self._by_id(row[self.id_field]), Update.of(values))
+                out["matched_count"] += 1
+                out["modified_count"] += 1
+            elif spec.get("upsert"):
+                out["upserted_ids"][i] = self._insert([{**f.flat_record(spec["filter"]), **values}])[0][self.table.pk]
+                out["upserted_count"] += 1
+        elif kind == "update_many":
+            n = where(self.df, spec["filter"]).count()
+            if n:
+                self._change(f.as_filter(spec["filter"]), Update.of(spec["update"]))
+            out["matched_count"] += n
+            out["modified_count"] += n
+        elif kind == "delete_one":
+            row = self._row(self._ordered(where(self.df, spec["filter"]), None))
+            out["deleted_count"] += self._remove(self._by_id(row[self.id_field])) if row else 0
+        else:
+            out["deleted_count"] += self._remove(f.as_filter(spec["filter"]))
+
     def batch(self, build: Callable[[Batch], Any]) -> list:
         return with_batch(self.ws, lambda b: build(b))
 
 
+def _typed(spark, rows: Sequence[Mapping[str, Any]], table: TableDef) -> DataFrame:
+    """Complete rows as a DataFrame; values of other types than their column's become that, as literals do."""
+    try:
+        return table.frame(spark, rows)
+    except (TypeError, ValueError):
+        one = lambda r: F.struct(*[literal(r[k], c.type).cast(c.type).alias(k) for k, c in table.columns.items()])
+        return spark.range(1).select(F.explode(F.array(*map(one, rows))).alias("r")).select("r.*")
+
+
 def _refiltered(req: agg.AggRequest, ctx: Context) -> agg.AggRequest:
     return agg.AggRequest(req.measures, req.group_by, ctx.filter, req.having, req.sort, req.limit, req.offset, req.options)
 

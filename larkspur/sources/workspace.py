@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from larkspur.errors import DuplicateKeyError, LarkspurError, ReadOnlyError, UnknownTable
-from larkspur.sources.store import FileStore, MemoryStore
+from larkspur.sources.store import Change, Delta, FileStore, MemoryStore
 from larkspur.sources.tables import TableDef
 
 #: Session settings by preset. All keep adaptive planning on; shuffle sizes follow the data.
@@ -35,7 +35,9 @@ class Workspace:
         self.spark, self.store, self.read_only = spark, store or MemoryStore(spark), read_only
         self.tables: dict[str, TableDef] = dict(tables or {})
         self._staged: dict[str, DataFrame | None] | None = None
-        self._seen = self.store.version
+        self._pending: dict[str, Change] = {}
+        #: By table and name: what gives the changes of tables derived from it, as {name: (delta, all rows)}.
+        self.derived: dict[str, dict[str, Callable[[Delta | None, DataFrame], Mapping]]] = {}
         self.clock = clock or (lambda: time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()))
 
     # ------------------------------------------------------------ tables
@@ -60,7 +62,9 @@ class Workspace:
         return table
 
     def frame(self, name: str) -> DataFrame:
-        if self._staged is not None and self._staged.get(name) is not None:
+        if self._staged is not None and name in self._staged:
+            if self._staged[name] is None:
+                raise UnknownTable(name)
             return self._staged[name]
         if name in self.store.names():
             return self.store.read(name)
@@ -68,13 +72,44 @@ class Workspace:
             return self.spark.table(name)
         raise UnknownTable(name)
 
-    def put(self, changed: Mapping[str, DataFrame | None]) -> None:
+    def has(self, name: str) -> bool:
+        """Whether a table is there, as this workspace's own reads see it."""
+        if self._staged is not None and name in self._staged:
+            return self._staged[name] is not None
+        return name in self.store.names()
+
+    def put(self, changed: Mapping[str, DataFrame | None], same_rows: bool = False) -> None:
+        """Replaces tables (None: drops them), and, unless the rows are the same, what is derived from them."""
+        todo: dict[str, tuple] = {n: (None, df) for n, df in changed.items()}
+        for n, df in changed.items():
+            for more in self.derived.get(n, {}).values() if df is not None and not same_rows else ():
+                todo |= more(None, df)
+        self._apply(todo)
+
+    def change(self, name: str, delta: Delta, whole: DataFrame, key: str) -> None:
+        """Changes a table: delta where the store keeps layers and the key allows it, else whole, its
+        rows after the change; and what is derived from the table, in the same commit."""
+        fits = self._fits(name, key if delta.gone is not None else None)
+        todo: dict[str, tuple] = {name: (delta if fits else None, whole)}
+        for more in self.derived.get(name, {}).values():
+            todo |= more(delta, whole)
+        self._apply(todo)
+
+    def _fits(self, name: str, key: str | None) -> bool:
+        if isinstance(self._pending.get(name), DataFrame):
+            return False  # it is written whole anyway
+        return self.store.takes_layers(name, key)
+
+    def _apply(self, todo: Mapping[str, tuple[Delta | None, DataFrame | None]]) -> None:
         if self.read_only:
             raise ReadOnlyError("this workspace is read-only")
-        if self._staged is not None:
-            self._staged.update(changed)
-        else:
-            self.store.commit(changed, self.store.version)
+        if self._staged is None:
+            self.store.commit({n: whole if d is None else [d] for n, (d, whole) in todo.items()}, self.store.version)
+            return
+        for n, (d, whole) in todo.items():
+            self._staged[n] = whole
+            before = self._pending.get(n, ())
+            self._pending[n] = whole if d is None or isinstance(before, DataFrame) else [*(before or ()), d]
 
     # ------------------------------------------------------------ transactions
 
@@ -89,14 +124,14 @@ class Workspace:
             raise LarkspurError("nested transactions aren't supported")
         if self.read_only:
             raise ReadOnlyError("this workspace is read-only")
-        seen, self._staged = self.store.version, {}
+        seen, self._staged, self._pending = self.store.version, {}, {}
         try:
             yield self
-            changed, self._staged = self._staged, None
+            changed, self._staged = self._pending, None
             if changed:
                 self.store.commit(changed, seen)
         finally:
-            self._staged = None
+            self._staged, self._pending = None, {}
 
     # ------------------------------------------------------------ statements
 

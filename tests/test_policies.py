@@ -1,8 +1,11 @@
 import pytest
+from pyspark.sql import functions as F
 
 from larkspur.crudschema import crud_schemas
 from larkspur.errors import LarkspurError
+from larkspur.functions import columns
 from larkspur.functions.stemming import stem
+from larkspur.operators import fulltext as ft
 from larkspur.plans import filters as f
 from larkspur.plugins import Audit, Cache, Compaction, Expiry, FullText, SoftDelete, Tenancy, Timestamps, Vectors
 from larkspur.repository import Repository
@@ -90,6 +93,11 @@ def test_audit(spark):
     r.delete("a1")
     assert [(e["action"], e["document_id"], e["actor_id"]) for e in told] == [("create", "a1", "me"), ("update", "a1", "me"), ("delete", "a1", "me")]
     assert r.audit_frame().count() == 3 and "after" not in told[2]
+    few = Audit(most=2)
+    r = Repository(workspace(spark, users=PEOPLE), "users", [few])
+    for i in range(5):
+        r.update("u1", {"age": i})
+    assert r.audit_frame().count() == 5 and len(few.entries) <= 2
 
 
 def test_compaction(spark, tmp_path):
@@ -122,6 +130,41 @@ def test_full_text(spark):
     assert [x["id"] for x in r.get_all(search="cats").rows()] == [2]
 
 
+def test_the_stored_index_follows_writes(spark, tmp_path):
+    texts = [("a", "one", "red fish"), ("b", "two", "blue fish"), ("c", "three", "a red, red rose")]
+    for store in (None, FileStore(spark, f"file://{tmp_path}/db")):
+        rows = [{"id": i, "slug": s, "title": t, "body": b} for i, (s, t, b) in enumerate(texts, 1)]
+        r = Repository(workspace(spark, store, posts=rows), "posts", [FullText(["title", "body"], prefix=(2,))])
+        r.create_search_index()
+        find = lambda q: sorted(x.slug for x in r.search(q).collect())  # noqa: B023, E731
+        assert find("red") == ["a", "c"]
+        r.create({"slug": "d", "title": "red", "body": "new"})
+        r.update(2, {"body": "blue and red"})
+        r.delete(1)
+        assert find("red") == ["b", "c", "d"] and find("fish") == [] and find('"red rose"') == ["c"] and find("re* NOT three") == ["b", "d"]
+        with r.transaction():
+            r.update_many({"slug": "d"}, {"title": "green"})
+            assert find("green") == ["d"]
+        r.bulk_write([{"update_one": {"filter": {"id": 3}, "update": {"body": "white"}}}, {"insert_one": {"document": {"id": 50, "slug": "e", "title": "t", "body": "red red red"}}}])
+        assert find("red") == ["b", "e"] and find("white OR green") == ["c", "d"]
+        stored = {x.id: round(x.rank, 9) for x in r.search_hits("red OR blue").collect()}
+        r.drop_search_index()
+        plain = Repository(r.ws, "posts", [FullText(["title", "body"])])
+        assert stored == {x.id: round(x.rank, 9) for x in plain.search_hits("red OR blue").collect()}
+
+
+def test_patterns_count_as_tokens_do(spark):
+    texts = ["a a a", "A-a_a1 a", "Cafe\u0301s cafe\u0301 CAFÉ", "\u0301a e\u0301e", "x2y x 2y", "", "ab.ab ab,  ab!", "ÀÈ àè ae", "İstanbul istanbul"]
+    df = spark.createDataFrame([*enumerate(texts)], "id int, body string")
+    words = [("a",), ("a", "a"), ("cafe",), ("ab", "ab"), ("ee",), ("x",), ("istanbul",), ("ae", "ae")]
+    for w in words:
+        for prefix in (False, True):
+            by_pattern = F.regexp_count(F.lower("body"), F.lit(ft._pattern([*w], prefix)))
+            by_token = ft._frequency([*w], prefix, columns.tokens(F.col("body")))
+            got = df.select("id", by_pattern.alias("p"), by_token.alias("t"), F.regexp_count(F.lower("body"), F.lit(ft._WORD)).alias("n"), F.size(columns.tokens(F.col("body"))).alias("m")).collect()
+            assert all(r.p == r.t and r.n == r.m for r in got), (w, prefix, got)
+
+
 def test_full_text_ranks(spark):
     r = posts(spark, ("a", "one", "a cat sat"), ("b", "two", " ".join(["cat"] * 7)), ("c", "three", "my cat and me and them"), ("d", "x", "y"), ("e", "x", "z"), ("f", "x", "z"), ("g", "x", "z"), plugins=[FullText(["title", "body"])])
     assert [x.slug for x in r.search("cat").collect()][0] == "b" and r.search("cat").count() == 3

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from larkspur.errors import ConflictError, ConstraintError, DuplicateKeyError, LarkspurError, ReadOnlyError
@@ -6,6 +8,7 @@ from larkspur.plans import filters as f
 from larkspur.plans.compiler import Update
 from larkspur.repository import Repository, is_duplicate_key_error, with_batch
 from larkspur.sources.store import FileStore
+from larkspur.sources.tables import TableDef
 from larkspur.sources.workspace import Workspace
 from tests.fixtures import PEOPLE, USERS, user, workspace
 
@@ -134,6 +137,7 @@ def test_file_store(spark, tmp_path):
     store = again.ws.store
     with pytest.raises(ConflictError):
         store.commit({"users": again.df}, store.version - 1)
+    store.commit({"users": again.df}, store.version)
     assert store.compact()["removed"] >= 1 and again.count() == 5
     out = again.ws.backup(f"file://{tmp_path}/copy")
     assert out["files_copied"] >= 1 and spark.read.parquet(f"file://{tmp_path}/copy/users").count() == 5
@@ -185,3 +189,90 @@ def test_migrations(r, tmp_path):
     assert [x.name for x in load_directory(str(tmp_path))] == ["b", "a"]
     with pytest.raises(LarkspurError):
         load_directory(str(tmp_path), dialect="other")
+
+
+def test_layers_equal_a_store_in_memory(spark, tmp_path):
+    rnd = random.Random(1)
+    rows = [user(f"u{i}", f"n{i}", age=i) for i in range(30)]
+    memory, files = (Repository(workspace(spark, store, users=rows), "users") for store in (None, FileStore(spark, f"file://{tmp_path}/db")))
+    for step in range(12):
+        kind, ages, new = rnd.choice(["insert", "update", "delete", "both"]), rnd.sample(range(30), 4), user(f"new{step}", age=rnd.randrange(30))
+        for r in (memory, files):
+            if kind == "insert":
+                r.create(new)
+            elif kind == "update":
+                r.update_many(f.in_("age", ages), Update(set={"name": f"s{step}"}, inc={"age": 1}))
+            elif kind == "delete":
+                r.delete_many(f.in_("age", ages[:2]))
+            else:
+                with r.transaction():
+                    r.create(new)
+                    r.update(new["id"], {"name": "changed"})
+                    r.delete_many(f.eq("age", ages[0]))
+        same = [sorted(map(tuple, r.df.collect())) for r in (memory, files)]
+        assert same[0] == same[1], (step, kind)
+    assert files.ws.store.layers("users") > 3
+
+
+def test_a_write_adds_a_layer_of_its_own_size(spark, tmp_path):
+    r = Repository(workspace(spark, FileStore(spark, f"file://{tmp_path}/db"), users=[user(f"u{i}") for i in range(50)]), "users")
+    base = {*(tmp_path / "db/tables/users").iterdir()}
+    r.update("u3", {"name": "x"})
+    new = {*(tmp_path / "db/tables/users").iterdir()} - base
+    assert [spark.read.parquet(str(p)).count() for p in new] == [1, 1] and all(p.exists() for p in base)  # the row and its key
+    assert r.get_by_id("u3")["name"] == "x" and r.count() == 50
+
+
+def test_layers_need_a_unique_key_and_fold(spark, tmp_path, monkeypatch):
+    from larkspur.sources import store
+
+    twice = spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, v string")
+    ws = Workspace(spark, FileStore(spark, f"file://{tmp_path}/db"))
+    r = Repository(ws, ws.register(TableDef.of("t", twice, "id"), twice))
+    r.update_many({"v": "a"}, {"v": "x"})
+    assert sorted(map(tuple, r.df.collect())) == [(1, "b"), (1, "x"), (2, "c")] and ws.store.layers("t") == 1
+    monkeypatch.setattr(store, "MOST_LAYERS", 3)
+    r = Repository(workspace(spark, FileStore(spark, f"file://{tmp_path}/more"), users=PEOPLE), "users")
+    for i in range(5):
+        r.create(user(f"x{i}"))
+        r.update(f"x{i}", {"name": "y"})
+    assert r.ws.store.layers("users") <= 3 and r.count({"name": "y"}) == 5 and r.count() == 9
+
+
+def test_bulk_writes_by_key_are_folded(spark, monkeypatch):
+    rnd = random.Random(2)
+    some = [user(f"u{i}", f"n{i}") for i in range(8)]
+
+    def ops():
+        for i in range(25):
+            key = f"u{rnd.randrange(10)}"
+            yield rnd.choice([
+                {"update_one": {"filter": {"id": key}, "update": {"name": f"a{i}"}}}, {"replace_one": {"filter": {"id": key}, "replacement": {"name": f"b{i}", "age": i}}},
+                {"delete_one": {"filter": {"id": key}}}, {"update_one": {"filter": {"id": key}, "update": {"name": f"c{i}", "email": f"{i}@y"}, "upsert": True}}, {"insert_one": {"document": user(f"new{i}")}},
+            ])
+
+    todo = [*ops()]
+    folded, single = (Repository(workspace(spark, users=some), "users") for _ in range(2))
+    commits = folded.ws.store.version
+    got = folded.bulk_write(todo)
+    assert folded.ws.store.version == commits + 1
+    monkeypatch.setattr(Repository, "_step", lambda self, i, op, old=Repository._step: (*old(self, i, op)[:3], None))
+    want = single.bulk_write(todo)
+    assert got == want and sorted(map(tuple, folded.df.collect())) == sorted(map(tuple, single.df.collect()))
+
+
+def test_bulk_writes_keep_rows_of_equal_keys(spark):
+    ws, df = Workspace(spark), spark.createDataFrame([(1, "a"), (1, "b"), (2, "c")], "id int, v string")
+    r = Repository(ws, ws.register(TableDef.of("t", df, "id"), df))
+    assert r.bulk_write([{"update_one": {"filter": {"id": 1}, "update": {"v": "x"}}}])["matched_count"] == 1
+    assert sorted(map(tuple, r.df.collect())) == [(1, "x"), (1, "x"), (2, "c")]
+
+
+def test_plans_in_memory_are_cut(spark, monkeypatch):
+    from larkspur.sources import store
+
+    monkeypatch.setattr(store, "MOST_WRITES", 3)
+    r = Repository(workspace(spark, users=PEOPLE), "users")
+    for i in range(4):
+        r.update("u1", {"age": i})
+    assert r.df._jdf.queryExecution().logical().toString().count("CASE WHEN") < 30 and r.get_by_id("u1")["age"] == 3
