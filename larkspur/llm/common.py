@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.sources.shared import shared_folder
 from larkspur.sources.shipping import ship
 
 #: Bytes that part words; a word is a maximal run of anything else.
@@ -25,20 +24,6 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WORD_GAP), "")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share (spark.checkpoint.dir).
-
-    Where the setting is absent a folder is made only for a local master, whose executors
-    are this machine; on a cluster a missing setting is an error.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = "file://" + os.path.join(tempfile.gettempdir(), "larkspur-shared")
-    return base.rstrip("/")
-
-
 def fresh_folder(spark: SparkSession, label: str) -> str:
     """A path of its own in the shared folder; nothing is created."""
     return f"{shared_folder(spark)}/larkspur/{label}-{uuid.uuid4().hex}"
@@ -58,7 +43,16 @@ def stash(df: DataFrame, label: str, most_rows: int | None = None) -> DataFrame:
     if most_rows is not None and (files := max(1, -(-most_rows // FILE_ROWS))) < shuffle_parts(spark):
         df = df.coalesce(files)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._stash = path
+    return out
+
+
+def discard(*stashed: DataFrame) -> None:
+    """Removes tables that stash() wrote, once nothing reads them any more."""
+    for df in stashed:
+        spark, path = df.sparkSession, df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stash)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shuffle_parts(spark: SparkSession) -> int:

@@ -33,6 +33,7 @@ table. Only doc_id and text are read; other columns, whatever their names, are l
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import random
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import map_arrow, only, shuffle_parts, stash, table
+from larkspur.llm.common import discard, map_arrow, only, shuffle_parts, stash, table
 from larkspur.llm.urls import MOST_BITS, _bits, _level
 from larkspur.llm.wordhash import mixed, pieces, window_sums, words_of
 from larkspur.sources.shipping import ship
@@ -172,25 +173,26 @@ def promising(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return map_arrow(both, run, "a long, b long")
 
 
-def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     """(doc_id, text) of about the ids (id) given: a Bloom filter of bounded size, read as a scalar
-    subquery, drops most other texts at the scan; beyond its bound all texts pass."""
+    subquery, drops most other texts at the scan; beyond its bound all texts pass. And what to
+    discard once they are read."""
     n = ids.count()
     n_bits = 64 * max(1, -(-n * 12 // 64))
     if n_bits > MOST_BITS:
-        return docs
+        return docs, []
     bits = stash(_level(ids.select(F.col("id").alias("key")), 0, n_bits), "near-ids")
     hit = F.lit(True)
     for b in _bits(F.col("doc_id"), 0, n_bits):
         word = F.element_at(bits.scalar(), (F.floor(b / 64) + 1).cast("int"))
         hit = hit & (F.call_function("shiftrightunsigned", word, (b % 64).cast("int")).bitwiseAND(F.lit(1)) == 1)
-    return docs.where(hit)
+    return docs.where(hit), [bits]
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of pairs (a, b), those whose full sets are similar enough."""
+    """Of pairs (a, b), those whose full sets are similar enough; written."""
     ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-members", 2 * pairs.count())
-    texts = texts_of(docs, ids)
+    texts, scratch = texts_of(docs, ids)
     both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
@@ -206,12 +208,16 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
                 near = pa.array(near, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column("a").filter(near), part.column("b").filter(near)], ["a", "b"])
 
-    return map_arrow(both, run, "a long, b long")
+    out = stash(map_arrow(both, run, "a long, b long"), "near-links")
+    discard(ids, *scratch)
+    return out
 
 
-def hashed_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(rep, hashes): the full sets of the texts of ids (id)."""
-    texts = texts_of(docs, ids).join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
+def hashed_sets(reps: DataFrame, docs: DataFrame, k: int) -> DataFrame:
+    """reps (rep, label) with hashes, the full sets of their texts; written."""
+    ids = reps.select(F.col("rep").alias("id"))
+    texts, scratch = texts_of(docs, ids)
+    texts = texts.join(ids.withColumnRenamed("id", "doc_id"), "doc_id", "left_semi")
 
     def run(batches):
         for batch in batches:
@@ -219,7 +225,9 @@ def hashed_sets(ids: DataFrame, docs: DataFrame, k: int) -> DataFrame:
                 h, first = shingle_sets(part.column("text"), k)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([h[x:y].tobytes() for x, y in zip(first[:-1], first[1:], strict=True)], pa.binary())], ["rep", "hashes"])
 
-    return map_arrow(texts, run, "rep long, hashes binary")
+    out = stash(reps.join(map_arrow(texts, run, "rep long, hashes binary"), "rep"), "near-sets")
+    discard(*scratch)
+    return out
 
 
 def _packed(columns: dict[str, list], types: dict[str, pa.DataType]) -> pa.Table:
@@ -380,18 +388,20 @@ def components(edges: DataFrame) -> DataFrame:
     both = stash(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct(), "near-edges", n)
     labels = stash(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("id"), "label"), "near-labels", n)
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        step = labels.select("id", "label").join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = step.select(F.col("id").alias("label"), F.col("label").alias("next"))
         new = stash(step.join(jump, "label").select("id", "old", F.least("label", "next").alias("label")), "near-labels", n)
+        discard(labels)
+        labels = new
         if new.where("old <> label").isEmpty():
+            discard(both)
             return labels
-        labels = new.select("id", "label")
 
 
 def _labelled(rows: DataFrame, labels: DataFrame, of: str = "rep", name: str = "label") -> DataFrame:
     """rows with the label of a column of theirs; what has no link is its own."""
-    return rows.join(labels.toDF(of, "_label"), of, "left").withColumn(name, F.coalesce("_label", of)).drop("_label")
+    return rows.join(labels.select(F.col("id").alias(of), F.col("label").alias("_label")), of, "left").withColumn(name, F.coalesce("_label", of)).drop("_label")
 
 
 def _star(rows: DataFrame, hubs: DataFrame) -> DataFrame:
@@ -412,41 +422,55 @@ def _open(rows: DataFrame) -> DataFrame:
     return rows.join(spread, "key", "left_semi")
 
 
-def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Verified links (a, b) that connect whatever links connect, between classes (rep, n_shingles, registers)."""
-    check = lambda pairs: stash(verified(stash(promising(pairs, classes, percent), "near-pairs"), docs, k, percent), "near-links")
+def links(docs: DataFrame, classes: DataFrame, k: int, percent: int) -> list[DataFrame]:
+    """Verified links (a, b) that connect whatever links connect, between classes (rep, n_shingles,
+    registers): written tables."""
+
+    def check(pairs: DataFrame) -> DataFrame:
+        near = stash(promising(pairs, classes, percent), "near-pairs")
+        out = verified(near, docs, k, percent)
+        discard(near)
+        return out
+
     bands = band_keys(classes)
     groups = bands.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     busy = stash(bands.join(groups, "key"), "near-bands")
     company = busy.groupBy("rep").agg(F.sum("n").alias("company"))
     most = busy.count()
     hubs = _hubs(busy.join(company, "rep"), most, "company")
-    found = check(_star(busy, hubs))
+    found = [check(_star(busy, hubs))]
+    every = lambda: functools.reduce(DataFrame.unionByName, found)
     # What stars leave open: two members of a group, neither of them a hub, in different components.
-    rows, before = busy.where("n > 2").select("key", "rep"), None
+    open_rows, before = busy, None
     while True:
-        labels = components(found)
-        spokes = rows.join(hubs, "key").where("rep <> hub").select("key", "rep", "hub")
+        labels = components(every())
+        spokes = open_rows.where("n > 2").join(hubs, "key").where("rep <> hub").select("key", "rep", "n", "hub")
         # Written first, so that a key's rows aren't bound to one task by the count of its labels.
-        rows = stash(_open(stash(_labelled(spokes, labels), "near-spokes", most)), "near-open", most)
-        n = rows.count()
-        if not n:
-            return found
-        if before is not None and 2 * n > before:
+        spokes = stash(_labelled(spokes, labels), "near-spokes", most)
+        rows = stash(_open(spokes), "near-open", most)
+        discard(spokes, hubs, open_rows)
+        open_rows, n = rows, rows.count()
+        if not n or before is not None and 2 * n > before:
+            discard(labels)
             break
         # Another star in each, around a member that the last hub's component lacks.
         before, beside = n, _labelled(rows.select("key", "rep", "label", "hub"), labels, "hub", "held")
         hubs = _hubs(beside.withColumn("apart", F.col("label") != F.col("held")), n, "apart")
-        found = found.unionByName(check(_star(rows.select("key", "rep"), hubs)))
-        rows = rows.select("key", "rep")
-    reps = stash(rows.select("rep", "label").distinct(), "near-open-reps", n)
-    sets = hashed_sets(reps.select(F.col("rep").alias("id")), docs, k)
-    members = stash(reps.join(sets, "rep"), "near-sets")
-    stars = stash(prefix_stars(members, percent), "near-stars")
-    if stars.isEmpty():
-        return found
-    clusters = components(stars).select(F.col("id").alias("rep"), F.col("label").alias("cluster"))
-    return found.unionByName(stash(linked_across(members.join(clusters, "rep"), percent), "near-links"))
+        open_rows = stash(rows.select("key", "rep", "n"), "near-open", n)
+        discard(rows, labels)
+        found.append(check(_star(open_rows, hubs)))
+    if n:
+        reps = stash(open_rows.select("rep", "label").distinct(), "near-open-reps", n)
+        members = hashed_sets(reps, docs, k)
+        stars = stash(prefix_stars(members, percent), "near-stars")
+        if not stars.isEmpty():
+            labels = components(stars)
+            clusters = labels.select(F.col("id").alias("rep"), F.col("label").alias("cluster"))
+            found.append(stash(linked_across(members.join(clusters, "rep"), percent), "near-links"))
+            discard(labels)
+        discard(reps, members, stars)
+    discard(open_rows)
+    return found
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -457,7 +481,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     reps = stash(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-classes")
     classes = sets.join(reps.select(F.col("digest").alias("_d"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_d"))).select("rep", "n_shingles", "registers").dropDuplicates(["rep", "registers"])
     classes = stash(classes, "near-registers")
-    labels = components(links(docs, classes, k, percent))
+    found = links(docs, classes, k, percent)
+    labels = components(functools.reduce(DataFrame.unionByName, found))
+    discard(classes, *found)
     member = reps.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("digest", F.coalesce("label", "rep").alias("component_id"))
     out = sketches.join(member, "digest", "left")
     component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))

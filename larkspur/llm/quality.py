@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import let, only, stash, table, words
+from larkspur.llm.common import discard, let, only, stash, table, words
 
 UNIT = 1024
 #: Least standard deviations of the transformed statistics: log word length, and log shares
@@ -222,11 +222,11 @@ def mcd(rows: DataFrame, floor=FLOOR, coverage: float = COVERAGE, steps: int = S
     sums = _small(rows.groupBy("gkey").agg(*_moments(p)), "quality-sums", few)
     target = scatter_target(sums, floor)
     estimate = _small(_estimate(_first_sums(rows, sums, p, few), target, 1.0), "quality-estimates", few)
-    for _ in range(FIRST_STEPS):
-        estimate = concentrate(rows, estimate, target, coverage, few)
-    estimate = _best(estimate, BEST)
-    for _ in range(steps):
-        estimate = concentrate(rows, estimate, target, coverage, few)
+    discard(sums)
+    for step in range(FIRST_STEPS + steps):
+        last = estimate
+        estimate = concentrate(rows, _best(last, BEST) if step == FIRST_STEPS else last, target, coverage, few)
+        discard(last)
     return _best(estimate, 1).drop("start", "det")
 
 

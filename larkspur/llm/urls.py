@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import fresh_folder, only, stash, table
+from larkspur.llm.common import discard, fresh_folder, only, stash, table
 
 BITS = 10
 HASHES = (5, 1)  # of level 0, of the levels after it
@@ -82,6 +82,7 @@ class Cascade:
         levels: list[tuple[DataFrame, int]] = []
         # Who is to be encoded next, and who may be taken for it by mistake.
         inside, outside = u.where("listed").select("key"), u.where("not listed").select("key")
+        written: list[DataFrame] = []
         while n := inside.count():
             n_bits = 64 * math.ceil(n * bits / 64)
             if n_bits > most_bits:
@@ -90,6 +91,8 @@ class Cascade:
             levels.append((words, n_bits))
             wrong = outside.where(cls._probe(F.col("key"), words, len(levels) - 1, n_bits))
             inside, outside = stash(wrong, "url-errors"), inside
+            written.append(inside)
+        discard(*written)
         return cls(levels)
 
     @staticmethod
