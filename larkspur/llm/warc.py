@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -185,7 +186,9 @@ def read_records(stream: BinaryIO, strict: bool = True, block: int = BLOCK, payl
 
 
 def _file_system(uri: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(uri if "://" in uri else "file://" + uri.removeprefix("file:"))
+    if "://" not in uri:
+        uri = "file://" + uri.removeprefix("file:")
+    return pafs.FileSystem.from_uri(re.sub(r"^s3[an]://", "s3://", uri))  # Hadoop's names of the same
 
 
 def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
@@ -195,7 +198,9 @@ def with_revisits(pages: DataFrame, least: int = LEAST_BYTES) -> DataFrame:
     p = only(pages, page_id="page_id", url="url", html="html").withColumn("digest", F.when(F.octet_length("html") >= least, F.sha2("html", 256)))
     first = p.where("digest IS NOT NULL AND page_id IS NOT NULL").groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
     first = stash(first.where("n > 1").drop("n"), "warc-repeats")
-    out = p.join(first, "digest", "left")
+    # Rows without a digest have keys of their own, so that they don't meet in one task.
+    key = F.coalesce("digest", F.xxhash64("page_id", "url").cast("string"))
+    out = p.withColumn("key", key).join(first.withColumnRenamed("digest", "key"), "key", "left")
     return out.select("page_id", "url", "html", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first")).alias("refers_to"))
 
 

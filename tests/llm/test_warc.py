@@ -123,3 +123,11 @@ def test_archives_are_compressed_once(spark, tmp_path):
     path, size = manifest.select("path", "bytes").first()
     data = open(path.removeprefix("file://"), "rb").read()
     assert len(data) == size and sorted(r["page_id"] for r in warc.read_records(io.BytesIO(data))) == [1, 2]
+
+
+def test_names_of_file_systems(monkeypatch):
+    asked = []
+    monkeypatch.setattr(warc, "pafs", type("fs", (), {"FileSystem": type("f", (), {"from_uri": staticmethod(asked.append)})}))
+    for uri in ("s3a://b/x", "s3n://b/x", "s3://b/x", "/a/b", "file:/a/b", "hdfs://h/x"):
+        warc._file_system(uri)
+    assert asked == ["s3://b/x"] * 3 + ["file:///a/b"] * 2 + ["hdfs://h/x"]
