@@ -4,8 +4,9 @@ The vocabulary is a rank file. Its byte strings become character strings by the
 alphabet (each byte a printable character), and the merges are every pair of vocabulary
 entries whose concatenation is an entry, in rank order, so the lowest rank merges first.
 
-A text is cut at single spaces and line breaks between characters that are no white space: no
-match of the pattern spans such a place, so the parts encode on their own. Each distinct part
+With the default pattern a text is cut at single spaces and line breaks between characters that
+are no white space: no match spans such a place, so the parts encode on their own; with any other
+pattern texts are encoded whole. Each distinct part
 of a batch goes through the library once, many joined in one string whose ids are told apart
 by their lengths in bytes; the memo that carries parts to later batches is bounded.
 
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from larkspur.llm.common import map_arrow, only, table
+from larkspur.llm.wordhash import pieces
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Distinct parts that a task remembers between batches, and the longest that it remembers.
@@ -41,6 +43,9 @@ MEMO_PARTS, MEMO_CHARS = 200_000, 64
 ENDINGS = ".,;:!?*&$%#"
 #: Parts that go through the library in one string.
 RUN = 64
+#: Text bytes that are encoded at a time, and ids that are decoded, of one row at least; ids that are
+#: looked up at a time.
+BATCH_BYTES, BATCH_IDS, RUN_IDS = 64 << 20, 8 << 20, 1 << 19
 ENCODED = "doc_id long, ids array<int>, starts array<int>, ends array<int>"
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _DOUBLE = re.compile(r"\s\s")
@@ -77,10 +82,13 @@ class ByteTable:
         """The bytes of a run of ids by the byte table, and where those of ids[:end] end."""
         if len(ids) and not (0 <= ids.min() and ids.max() < len(self.lengths) and self.lengths[ids].all()):
             raise ValueError("an id that the vocabulary lacks")
-        size = self.lengths[ids]
-        total = np.cumsum(size)
-        at = np.arange(total[-1] if len(ids) else 0) + np.repeat(self._starts[ids] - (total - size), size)
-        return self._table[at].tobytes(), np.concatenate([[0], total])[ends]
+        parts, total = [], np.cumsum(self.lengths[ids])
+        for i in range(0, len(ids), RUN_IDS):
+            some = ids[i : i + RUN_IDS]
+            size = self.lengths[some]
+            at = np.arange(size.sum()) + np.repeat(self._starts[some] - (np.cumsum(size) - size), size)
+            parts.append(self._table[at].tobytes())
+        return b"".join(parts), np.concatenate([[0], total])[ends]
 
 
 class Codec(ByteTable):
@@ -90,6 +98,7 @@ class Codec(ByteTable):
         from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
         super().__init__(path)
+        self._whole = pattern != public_tokenizers.PATTERN
         ranks, chars = self.ranks, byte_characters()
         told = {t: "".join(chars[b] for b in t) for t in ranks}
         merges = []
@@ -146,6 +155,8 @@ class Codec(ByteTable):
         return ids
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if self._whole:
+            return [np.frombuffer(self._one(t), np.int32) for t in texts]
         cut = [_parts(t) for t in texts]
         bare = {line[0] for lines in cut for line in lines}
         spaced: set[str] = set()
@@ -216,8 +227,7 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path, pattern)
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
+            for batch in (x for at in range(0, whole.num_rows, rows) for x in pieces(whole.slice(at, rows), "text", BATCH_BYTES)):
                 made = _encoded(codec, batch)
                 more = [_decoded(codec, made[0])] if decoded else []
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made, *more], ["doc_id", "ids", "starts", "ends", *["decoded"] * decoded])
@@ -225,6 +235,17 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str = public_token
     return map_arrow(only(docs, doc_id="doc_id", text="text"), run, ENCODED + ", decoded binary" * decoded)
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of a bounded number of ids, one row at least; their bytes have 32-bit offsets."""
+    at, held = 0, 0
+    for i, n in enumerate(batch.column("ids").fill_null([]).value_lengths().to_pylist()):
+        if held and held + n > BATCH_IDS:
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    yield batch.slice(at)
+
+
 def decode(encoded: DataFrame, path: str | None = None, rows: int = 500) -> DataFrame:
     """Rows with ids, with the decoded bytes added as decoded."""
     path = path or public_tokenizers.path(RANKS)
@@ -233,8 +254,7 @@ def decode(encoded: DataFrame, path: str | None = None, rows: int = 500) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = _table(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, rows):
-                batch = whole.slice(at, rows)
+            for batch in (x for at in range(0, whole.num_rows, rows) for x in _slices(whole.slice(at, rows))):
                 yield pa.RecordBatch.from_arrays([*batch.columns, _decoded(table, batch.column("ids"))], [*batch.schema.names, "decoded"])
 
     return map_arrow(encoded, run, schema)

@@ -1,7 +1,9 @@
 import base64
 import random
 
+import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -63,3 +65,20 @@ def test_unknown_ids_and_no_rows(spark):
         bpe.decode(spark.createDataFrame([(1, [10**6])], "doc_id long, ids array<int>")).collect()
     assert bpe.decode(bpe.encode(documents(spark, []))).collect() == []
     assert bytes(bpe.decode(spark.createDataFrame([(1, None)], "doc_id long, ids array<int>")).first().decoded) == b""
+
+
+def test_other_patterns_and_small_batches(spark, monkeypatch):
+    pattern = r"[a-z]+ ?|[^a-z]+"
+    with open(public_tokenizers.path(bpe.RANKS), "rb") as lines:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    own = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    docs = documents(spark, some := texts()[:120])
+    got = by_id(bpe.encode(docs, pattern=pattern, decoded=True))
+    assert all(got[i].ids == own.encode_ordinary(t or "") and bytes(got[i].decoded) == (t or "").encode() for i, t in enumerate(some))
+    batch = pa.RecordBatch.from_pydict({"ids": [[1, 2, 3], None, [4] * 9, [], [5], [6] * 4]})
+    monkeypatch.setattr(bpe, "BATCH_IDS", 5)
+    slices = [x.column("ids").to_pylist() for x in bpe._slices(batch)]
+    assert sum(slices, []) == batch.column("ids").to_pylist() and all(len(x) == 1 or sum(len(i or []) for i in x) <= 5 for x in slices)
+    monkeypatch.setattr(bpe, "RUN_IDS", 7)
+    table, ids = bpe.ByteTable(public_tokenizers.path(bpe.RANKS)), np.array(own.encode_ordinary("some words, and é more of them"), np.int32)
+    assert table.decode(ids, np.array([0, len(ids)]))[0].decode() == "some words, and é more of them"
