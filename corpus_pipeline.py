@@ -5,7 +5,9 @@ are cut from the texts; sources are mixed to target weights; the mix is encoded
 A stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each to the shared
 folder as Parquet and rereads it.
 
-Defined results: verdicts are of rows. A row whose id is null or another row's too is judged by a
+Defined results: only the five columns of documents are read; other columns, whatever their
+names, are left out; an empty table gives an empty table; null texts fail the quality rules, and
+texts of any length are taken whole. Verdicts are of rows. A row whose id is null or another row's too is judged by a
 number of its own, beyond all ids, so that of a group of near duplicates a row with an id of its
 own stays, if there is one, and the smallest such id.
 """
@@ -40,7 +42,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 def _kept(docs: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """The rows of docs that judge (rows of doc_id and kept, from documents) keeps."""
-    docs = _keyed(docs)
+    docs = _keyed(docs.select(*COLUMNS))
     gone = judge(docs.withColumn("doc_id", F.col("_key")).select(*COLUMNS)).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, docs["_key"] == gone["_gone"], "left_anti").select(*COLUMNS)
 
