@@ -36,9 +36,9 @@ from larkspur.llm.common import discard, let, only, stash, table, words
 UNIT = 1024
 #: Least standard deviations of the transformed statistics: log word length, and log shares
 #: in per cent of symbols, repeated lines and repeated words. Where a group has no spread of its
-#: own, a share of 10 % symbols, 17 % lines or 13 % words (of the steadied sums below) is rejected
+#: own, a share of 10 % symbols, 22 % lines or 16 % words (of the steadied sums below) is rejected
 #: on its own; the base rules let 20 % of the words pass.
-FLOOR = (0.06, 0.5, 0.6, 0.54)
+FLOOR = (0.06, 0.5, 0.65, 0.58)
 #: 0.9999 quantile of chi-square with 4 degrees of freedom.
 CUTOFF = 23.513
 COVERAGE = 0.75

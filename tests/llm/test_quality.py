@@ -152,7 +152,7 @@ def test_each_statistic_alone_rejects(spark):
     repeats = " ".join(many[:300] + many[200:224] + many[300:] + many[100:124])  # 96 of 448 words, in one line
     while 100 * brute(repeats)[4] > 20 * brute(repeats)[0]:
         repeats += " " + _words(rnd, 20)
-    odd = {"words": repeats, "lines": "\n".join(lines + [str(i)[:1] for i in range(10)] * 2), "symbols": clean[0] + "#" * 250, "length": " ".join(w + "qqqq" for w in clean[1].split())}
+    odd = {"words": repeats, "lines": "\n".join(lines + [str(i)[:1] for i in range(10)] * 4), "symbols": clean[0] + "#" * 250, "length": " ".join(w + "qqqq" for w in clean[1].split())}
     got = by_id(quality.judge(documents(spark, clean + [*odd.values()])))
     assert all(got[i].kept for i in range(120))
     for i, name in enumerate(odd, 120):
