@@ -144,7 +144,9 @@ def tokens(text: Column, kind: str = "words") -> Column:
     """The array of tokens: case-folded runs of letters and digits without marks, or trigrams."""
     plain = folded(text)
     if kind == "trigram":
-        return let(plain, lambda t: F.when(F.length(t) >= 3, F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1))), lambda i: F.substring(t, i, F.lit(3)))).otherwise(F.array().cast("array<string>")))
+        starts = lambda t: F.sequence(F.lit(1), F.greatest(F.length(t) - 2, F.lit(1)))
+        cut = lambda t: F.transform(starts(t), lambda i: F.substring(t, i, F.lit(3)))
+        return let(plain, lambda t: F.when(F.length(t) >= 3, cut(t)).otherwise(F.array().cast("array<string>")))
     return F.array_remove(F.split(plain, r"[^\p{L}\p{N}]+"), "")
 
 

@@ -73,7 +73,12 @@ def reindex(ws: Workspace, table: str | None = None, index: str | None = None, c
 def list_indexes(ws: Workspace, table: str) -> list[dict]:
     d = ws.tables[table]
     auto = [IndexDef(f"auto_{table}_{'_'.join(c)}", tuple(c), True, None, True) for c in ((d.pk,), *d.unique)]
-    return [{"name": i.name, "table": table, "unique": i.unique, "auto": i.auto, "columns": [{"name": c, "desc": False} for c in i.columns], **({"partial_where": i.where} if i.where else {})} for i in (*auto, *d.indexes)]
+
+    def told(i: IndexDef) -> dict:
+        columns = [{"name": c, "desc": False} for c in i.columns]
+        return {"name": i.name, "table": table, "unique": i.unique, "auto": i.auto, "columns": columns} | ({"partial_where": i.where} if i.where else {})
+
+    return [told(i) for i in (*auto, *d.indexes)]
 
 
 def soft_delete_index(table: str, columns: Sequence[str], field: str = "deletedAt") -> dict:

@@ -50,6 +50,16 @@ class Lookup:
         return cls(**{names.get(k, k): v for k, v in x.items()})
 
 
+@dataclass(frozen=True)
+class Related:
+    """How lookups reach other tables: their rows by name, whether a field of theirs has one row per
+    value at most, and their primary key, if there is one."""
+
+    frame: Callable[[str], DataFrame]
+    unique: Callable[[str, str], bool]
+    key: Callable[[str], str | None]
+
+
 def selected(select: Any, columns: Sequence[str], pk: str | None = None, stage: str = "lookup") -> list[str]:
     """Column names of a list or inclusion map; nothing selects all; pk is always among them."""
     if isinstance(select, Mapping):
@@ -84,14 +94,13 @@ def validate(lookups: Sequence[Lookup | Mapping], base: DataFrame) -> list[Looku
     return out
 
 
-def populate(base: DataFrame, lookups: Sequence[Lookup], frame: Callable[[str], DataFrame], unique: Callable[[str, str], bool] = lambda table, field: False, keys: Sequence[list] | None = None, key_of: Callable[[str], str | None] = lambda table: None) -> DataFrame:
-    """base with a column per lookup. unique: whether a table's field has one row per value at most;
-    keys: for each lookup the only values that base has; key_of: a table's primary key."""
+def populate(base: DataFrame, lookups: Sequence[Lookup], related: Related, keys: Sequence[list] | None = None) -> DataFrame:
+    """base with a column per lookup. keys: for each lookup the only values that base has."""
     names = base.columns
     local = {f"_l{i}": x.local_field for i, x in enumerate(lookups)}
     out = base.select(*[quoted(c) for c in names], *[quoted(c).alias(k) for k, c in local.items()])
     for i, x in enumerate(lookups):
-        foreign = where(frame(x.from_), x.where)
+        foreign = where(related.frame(x.from_), x.where)
         resolve(foreign.schema, x.foreign_field, "lookup")
         fields = selected(x.select, foreign.columns)
         payload = F.struct(*[quoted(c).alias(c) for c in fields])
@@ -99,12 +108,12 @@ def populate(base: DataFrame, lookups: Sequence[Lookup], frame: Callable[[str],
         if keys is not None:
             side = side.where(quoted(x.foreign_field).isin(keys[i]) if keys[i] else F.lit(False))
         key, made = f"_f{i}", f"_p{i}"
-        if x.single and (not x.strict or unique(x.from_, x.foreign_field)):
+        if x.single and (not x.strict or related.unique(x.from_, x.foreign_field)):
             side = side.select(quoted(x.foreign_field).alias(key), payload.alias(made))
         elif x.single:
             # The first match: min over structs is one partial aggregation. Ties of the key go by the
             # selected columns, so that no others are read.
-            pk = key_of(x.from_)
+            pk = related.key(x.from_)
             plain = [c for c in ([pk, *fields] if pk in foreign.columns else foreign.columns) if not isinstance(foreign.schema[c].dataType, T.MapType)]
             rank = F.struct(*[quoted(c).alias(f"o{n}") for n, c in enumerate(plain)])
             side = side.groupBy(quoted(x.foreign_field).alias(key)).agg(F.min(F.struct(rank.alias("r"), payload.alias("p"))).alias("m")).select(key, F.col("m.p").alias(made))
@@ -122,7 +131,18 @@ def populate(base: DataFrame, lookups: Sequence[Lookup], frame: Callable[[str],
     return out.select(*[quoted(c) for c in names], *[F.col(f"_p{i}").alias(x.key) for i, x in enumerate(lookups)])
 
 
-def lookup_page(base: DataFrame, lookups: Sequence[Lookup | Mapping], frame: Callable[[str], DataFrame], pk: str, flt: Any = None, sort: Any = None, select: Any = None, page: Any = 1, limit: Any = None, count: str = "exact", unique: Callable[[str, str], bool] = lambda table, field: False, key_of: Callable[[str], str | None] = lambda table: None) -> Page:
+def lookup_page(
+    base: DataFrame,
+    lookups: Sequence[Lookup | Mapping],
+    related: Related,
+    pk: str,
+    flt: Any = None,
+    sort: Any = None,
+    select: Any = None,
+    page: Any = 1,
+    limit: Any = None,
+    count: str = "exact",
+) -> Page:
     specs = validate(lookups, base)
     keys = sort_keys(sort, pk)
     paged = offset_page(where(base, flt), keys, pk, page, limit, count, least_pages=1)
@@ -132,15 +152,15 @@ def lookup_page(base: DataFrame, lookups: Sequence[Lookup | Mapping], frame: Cal
     fetched = rows.collect()
     cut = base.sparkSession.createDataFrame(fetched, rows.schema)
     values = [sorted({r[x.local_field] for r in fetched if r[x.local_field] is not None}) for x in specs]
-    out = populate(cut, specs, frame, unique, values, key_of)
+    out = populate(cut, specs, related, values)
     paged.docs = offset_frame(out, keys, pk, 1, paged.limit).select(*[quoted(c) for c in names], *[quoted(x.key) for x in specs])
     return paged
 
 
-def lookup_frame(base: DataFrame, lookups: Sequence[Lookup | Mapping], frame: Callable[[str], DataFrame], pk: str, flt: Any = None, select: Any = None, unique: Callable[[str, str], bool] = lambda table, field: False, key_of: Callable[[str], str | None] = lambda table: None) -> DataFrame:
+def lookup_frame(base: DataFrame, lookups: Sequence[Lookup | Mapping], related: Related, pk: str, flt: Any = None, select: Any = None) -> DataFrame:
     """All base rows with their lookups, lazily."""
     specs = validate(lookups, base)
     names = selected(select, base.columns, pk)
     rows = where(base, flt).select(*[quoted(c) for c in dict.fromkeys([*names, *[x.local_field for x in specs]])])
-    return populate(rows, specs, frame, unique, None, key_of).select(*[quoted(c) for c in names], *[quoted(x.key) for x in specs])
+    return populate(rows, specs, related).select(*[quoted(c) for c in names], *[quoted(x.key) for x in specs])
 

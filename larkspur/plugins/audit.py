@@ -17,8 +17,18 @@ class Audit:
 
     ACTIONS = ("create", "update", "delete", "restore", "find_one_and_update")
 
-    def __init__(self, sink: Callable[[dict], None] | None = None, actor: Callable[[], Any] | None = None, organization: Callable[[], Any] | None = None, include_after: bool = True, metadata: Callable[[Any], dict] | None = None, clock=None, most: int = 100_000):
-        self.sink, self.actor, self.organization, self.include_after, self.metadata, self.clock, self.most = sink, actor, organization, include_after, metadata, clock, most
+    def __init__(
+        self,
+        sink: Callable[[dict], None] | None = None,
+        actor: Callable[[], Any] | None = None,
+        organization: Callable[[], Any] | None = None,
+        include_after: bool = True,
+        metadata: Callable[[Any], dict] | None = None,
+        clock=None,
+        most: int = 100_000,
+    ):
+        self.sink, self.actor, self.organization = sink, actor, organization
+        self.include_after, self.metadata, self.clock, self.most = include_after, metadata, clock, most
         self.entries: list[dict] = []
 
     def apply(self, repo) -> None:

@@ -124,7 +124,20 @@ class Repository:
 
         return self.hooks.around(self._ctx("distinct", flt, options=options | {"field": field, "limit": limit, "offset": offset}), run)
 
-    def get_all(self, filters: Any = None, sort: Any = None, page: Any = 1, limit: Any = None, count: str = "exact", after: str | None = None, select: Any = None, filter: Any = None, keyset: bool = False, search: str | None = None, **options: Any):
+    def get_all(
+        self,
+        filters: Any = None,
+        sort: Any = None,
+        page: Any = 1,
+        limit: Any = None,
+        count: str = "exact",
+        after: str | None = None,
+        select: Any = None,
+        filter: Any = None,
+        keyset: bool = False,
+        search: str | None = None,
+        **options: Any,
+    ):
         """A page: by offset, or by keyset where a cursor or keyset=True is given."""
         flt = f.merge(filters, filter)
 
@@ -141,7 +154,8 @@ class Repository:
                 out.docs = out.docs.select(*lk.selected(select, self.df.columns, self.id_field, "select"))
             return out
 
-        return self.hooks.around(self._ctx("get_all", flt, options=options | {"sort": sort, "page": page, "limit": limit, "after": after, "count": count, "select": select, "search": search, "keyset": keyset}), run)
+        asked = {"sort": sort, "page": page, "limit": limit, "after": after, "count": count, "select": select, "search": search, "keyset": keyset}
+        return self.hooks.around(self._ctx("get_all", flt, options=options | asked), run)
 
     def stream(self, flt: Any = None, sort: Any = None, limit: Any = None, **options: Any) -> Iterator[paging.KeysetPage]:
         """Keyset pages one after another."""
@@ -162,24 +176,22 @@ class Repository:
         run = lambda c: agg.aggregate_page(self.df, _refiltered(req, c), page, limit, count)
         return self.hooks.around(self._ctx("aggregate_paginate", req.filter, options=options | {"request": req, "page": page, "limit": limit}), run)
 
-    def _related(self, name: str) -> DataFrame:
-        return self.registry[name] if name in self.registry else self.ws.frame(name)
-
-    def _key_of(self, name: str) -> str | None:
-        t = None if name in self.registry else self.ws.tables.get(name)
-        return t and t.pk
-
-    def _declared_unique(self, name: str, field: str) -> bool:
-        t = None if name in self.registry else self.ws.tables.get(name)
-        return t is not None and (field == t.pk or (field,) in t.unique)
+    @property
+    def _related(self) -> lk.Related:
+        known = lambda name: None if name in self.registry else self.ws.tables.get(name)
+        return lk.Related(
+            frame=lambda name: self.registry[name] if name in self.registry else self.ws.frame(name),
+            unique=lambda name, field: (t := known(name)) is not None and (field == t.pk or (field,) in t.unique),
+            key=lambda name: (t := known(name)) and t.pk,
+        )
 
     def lookup_populate(self, lookups: Sequence[Any], filters: Any = None, sort: Any = None, select: Any = None, page: Any = 1, limit: Any = None, count: str = "exact", **options: Any) -> paging.Page:
-        run = lambda c: lk.lookup_page(self.df, lookups, self._related, self.id_field, c.filter, sort, select, page, limit, count, self._declared_unique, self._key_of)
+        run = lambda c: lk.lookup_page(self.df, lookups, self._related, self.id_field, c.filter, sort, select, page, limit, count)
         return self.hooks.around(self._ctx("lookup_populate", filters, options=options | {"lookups": lookups, "sort": sort, "page": page, "limit": limit, "select": select}), run)
 
     def lookup_frame(self, lookups: Sequence[Any], filters: Any = None, select: Any = None, **options: Any) -> DataFrame:
         """All rows with their lookups, lazily."""
-        run = lambda c: lk.lookup_frame(self.df, lookups, self._related, self.id_field, c.filter, select, self._declared_unique, self._key_of)
+        run = lambda c: lk.lookup_frame(self.df, lookups, self._related, self.id_field, c.filter, select)
         return self.hooks.around(self._ctx("lookup_populate", filters, options=options | {"lookups": lookups, "select": select}), run)
 
     def explain(self, flt: Any = None, aggregate: agg.AggRequest | None = None) -> list[dict]:

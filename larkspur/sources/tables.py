@@ -12,6 +12,17 @@ from pyspark.sql import types as T
 from larkspur.errors import ConstraintError, LarkspurError, UnknownColumn
 
 
+#: Logical types and the Spark types that they are by default.
+_KINDS = {
+    "string": T.StringType,
+    "boolean": T.BooleanType,
+    "integer": (T.ByteType, T.ShortType, T.IntegerType, T.LongType),
+    "number": (T.FloatType, T.DoubleType, T.DecimalType),
+    "date": (T.TimestampType, T.TimestampNTZType, T.DateType),
+    "buffer": T.BinaryType,
+}
+
+
 @dataclass(frozen=True)
 class ColumnDef:
     """mode: how the logical type is meant (json, date, boolean, number, integer, string, buffer, vector)."""
@@ -28,7 +39,7 @@ class ColumnDef:
     def kind(self) -> str:
         if self.mode:
             return self.mode
-        for name, types in {"string": T.StringType, "boolean": T.BooleanType, "integer": (T.ByteType, T.ShortType, T.IntegerType, T.LongType), "number": (T.FloatType, T.DoubleType, T.DecimalType), "date": (T.TimestampType, T.TimestampNTZType, T.DateType), "buffer": T.BinaryType}.items():
+        for name, types in _KINDS.items():
             if isinstance(self.type, types):
                 return name
         return "custom"

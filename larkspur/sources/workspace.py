@@ -31,7 +31,14 @@ def configure(spark: SparkSession, preset: str = "production") -> SparkSession:
 class Workspace:
     """Tables of one store. Inside transaction() writes are staged and seen by its own reads."""
 
-    def __init__(self, spark: SparkSession, store: MemoryStore | FileStore | None = None, tables: Mapping[str, TableDef] | None = None, read_only: bool = False, clock: Callable[[], str] | None = None):
+    def __init__(
+        self,
+        spark: SparkSession,
+        store: MemoryStore | FileStore | None = None,
+        tables: Mapping[str, TableDef] | None = None,
+        read_only: bool = False,
+        clock: Callable[[], str] | None = None,
+    ):
         self.spark, self.store, self.read_only = spark, store or MemoryStore(spark), read_only
         self.tables: dict[str, TableDef] = dict(tables or {})
         self._staged: dict[str, DataFrame | None] | None = None
