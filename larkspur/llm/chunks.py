@@ -128,33 +128,57 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def in_order(docs: DataFrame, parts: int) -> DataFrame:
-    """docs (doc_id, text) dealt into runs of ids, with columns part and halo: the first rows of a
-    run stand at the end of the run before it too, as halo rows, and the first of all (null ids are
-    first) after the last. The cuts are ids of the table, `parts` of them at most; a row finds its
-    run by bisection."""
-    docs = only(docs, doc_id="doc_id", text="text")
-    begin = F.coalesce(F.substring("text", 1, 64), F.lit(""))  # tells most texts of null ids from the first
-    found = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts)).alias("c"), F.min("doc_id").alias("m"), F.min(F.when(F.col("doc_id").isNull(), begin)).alias("null")).first()
-    cuts = sorted({c for c in found["c"] or () if c != found["m"]}) if parts > 1 else []
-    at = F.from_json(F.lit(str(cuts)), "array<bigint>")  # one literal, folded when planned
-    part = F.when(F.col("doc_id").isNotNull(), _rank(at, len(cuts))).otherwise(F.lit(0))
-    dealt = docs.withColumn("part", part)
+    """docs (doc_id, text) dealt into runs of their order, with columns h, part and halo: the first
+    rows of a run stand at the end of the run before it too, as halo rows, and the first of all
+    after the last. The order is that of ids; null ids come first, by a hash h of their text. Cuts
+    are values of the table, `parts` of them at most; a row finds its run by bisection."""
+    docs = only(docs, doc_id="doc_id", text="text").withColumn("h", F.when(F.col("doc_id").isNull(), F.xxhash64("text")))
+    cuts, n_nulls, n = _cuts(docs, parts)
+    least = {c: x[0] if x else None for c, x in cuts.items()}
+    cuts = {c: x[1:] for c, x in cuts.items()}
+    # Null ids have as many runs as their share asks for.
+    few = max(1, -(-len(cuts["h"]) * n_nulls // max(1, n)))
+    cuts["h"] = cuts["h"][:: max(1, len(cuts["h"]) // few)]
+    runs = len(cuts["h"]) + 1 if n_nulls else 0  # of null ids
+    told = {c: F.from_json(F.lit(str(x)), "array<bigint>") for c, x in cuts.items()}  # literals, folded when planned
+    null = F.col("doc_id").isNull()
+    rank = F.when(null, _rank(told["h"], "h", len(cuts["h"]))).otherwise(_rank(told["doc_id"], "doc_id", len(cuts["doc_id"])))
+    dealt = docs.withColumn("rank", rank).withColumn("part", F.col("rank") + F.when(null, 0).otherwise(runs))
+    leads = F.when(null, F.get(told["h"], F.col("rank") - 1) == F.col("h")).otherwise(F.get(told["doc_id"], F.col("rank") - 1) == F.col("doc_id"))
+    leads = F.when(F.col("rank") > 0, leads).otherwise(~null & (F.col("doc_id") == F.lit(least["doc_id"])))
     own = F.struct("part", F.lit(0).alias("halo"))
-    before = F.when((F.col("part") > 0) & (F.get(at, F.col("part") - 1) == F.col("doc_id")), F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("halo")))
-    first = F.col("doc_id") == F.lit(found["m"]) if found["null"] is None else F.col("doc_id").isNull() & (begin == F.lit(found["null"]))
-    around = F.when(first, F.struct(F.lit(len(cuts)).alias("part"), F.lit(2).alias("halo")))
+    before = F.when(leads & (F.col("part") > 0), F.struct((F.col("part") - 1).alias("part"), F.lit(1).alias("halo")))
+    first = null & (F.col("h") == F.lit(least["h"])) if n_nulls else F.col("doc_id") == F.lit(least["doc_id"])
+    last = runs + len(cuts["doc_id"]) - (n_nulls == n)
+    around = F.when(first, F.struct(F.lit(last).alias("part"), F.lit(2).alias("halo")))
     copies = F.filter(F.array(own, before, around), lambda x: x.isNotNull())
-    return dealt.withColumn("p", F.explode(copies)).select("p.part", "p.halo", "doc_id", "text")
+    return dealt.withColumn("p", F.explode(copies)).select("p.part", "p.halo", "doc_id", "h", "text")
 
 
-def _rank(cuts, n: int):
-    """How many of the n sorted cuts are at or below doc_id."""
+def _cuts(docs: DataFrame, parts: int) -> tuple[dict[str, list[int]], int, int]:
+    """By column (h, doc_id), the least value and those at which a run begins, sorted, `parts` at most;
+    and how many rows have no id, and how many there are. Percentiles are approximate, and of
+    doubles; the least value from each on is one of the table's."""
+    at, accuracy = [i / parts for i in range(1, parts)] or [0.5], max(10_000, 10 * parts)
+    counts = docs.agg(F.count_if(F.col("doc_id").isNull()).alias("nulls"), F.count(F.lit(1)).alias("n")).first()
+    out: dict[str, list[int]] = {}
+    # Texts are read for their hashes where there are null ids alone.
+    for c, n in (("h", counts["nulls"]), ("doc_id", counts["n"] - counts["nulls"])):
+        rows = docs.where(F.col("doc_id").isNull() if c == "h" else F.col("doc_id").isNotNull()).select(c)
+        told = sorted({*(rows.agg(F.percentile_approx(c, at, accuracy)).first()[0] if n and parts > 1 else ())})
+        rank = _rank(F.from_json(F.lit(str(told)), "array<bigint>"), c, len(told))
+        out[c] = sorted(r["v"] for r in rows.groupBy(rank.alias("rank")).agg(F.min(c).alias("v")).collect()) if n else []
+    return out, counts["nulls"], counts["n"]
+
+
+def _rank(cuts, name: str, n: int):
+    """How many of the n sorted cuts are at or below a column."""
 
     def step(a, _):
         mid = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
         right = F.struct((mid + 1).alias("lo"), a["hi"].alias("hi"))
         left = F.struct(a["lo"].alias("lo"), mid.alias("hi"))
-        return F.when(a["lo"] >= a["hi"], a).when(F.get(cuts, mid) <= F.col("doc_id"), right).otherwise(left)
+        return F.when(a["lo"] >= a["hi"], a).when(F.get(cuts, mid) <= F.col(name), right).otherwise(left)
 
     rounds = F.array(*[F.lit(i) for i in range(n.bit_length() + 1)])
     return F.aggregate(rounds, F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi")), step, lambda a: a["lo"])
@@ -175,7 +199,7 @@ def with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
     text): rows of SCHEMA. A table of one row is its own next."""
     spark = docs.sparkSession
     parts = parts or 8 * shuffle_parts(spark)
-    dealt = in_order(docs, parts).repartition(shuffle_parts(spark), "part").sortWithinPartitions("part", "halo", F.col("doc_id").asc_nulls_first(), "text")
+    dealt = in_order(docs, parts).repartition(shuffle_parts(spark), "part").sortWithinPartitions("part", "halo", F.col("doc_id").asc_nulls_first(), "h", "text")
 
     def row(doc_id, own: Print, other: Print, text: str, next_text: str) -> tuple:
         changed, kept = edited(text, next_text)

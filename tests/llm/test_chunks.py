@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from larkspur.llm import chunks
 from tests.llm.helpers import DOCS, by_id, clashing, documents
@@ -64,6 +65,7 @@ def test_edits_follow_the_order_of_ids(spark):
     rows = [(i * 7 - 100, rnd.choice(["", "é" * rnd.randrange(300), "word " * rnd.randrange(400)])) for i in range(120)]
     for parts in (1, 2, 9, 60, 200):
         check(spark, rows, parts)
+    check(spark, [(i * (2**56 + 12345) - 2**62, f"{i} " * 20) for i in range(90)] + [(2**62 + i, f"x{i} " * 20) for i in range(30)], 25)
     check(spark, [(5, "alone at last")], 4)
     check(spark, [(1, "aa"), (2, "bb")], 4)
 
@@ -83,9 +85,10 @@ def test_nulls_ties_and_no_rows(spark):
 
 def test_null_ids_come_first_and_follow_the_last(spark):
     long = "begins alike, for more than sixty-four code points of each of these texts "
-    for rows in ([(None, "alone at last")], [(None, "b" * 90), (None, None), (None, "a")], [(None, long + "b"), (None, long + "a"), (1, "one " * 30), (2, "two " * 30)], [(i, f"{i} " * 50) for i in range(40)] + [(None, "x" * 70)]):
-        order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    for rows in ([(None, "alone at last")], [(None, "b" * 90), (None, None), (None, "a")], [(None, long + "b"), (None, long + "a"), (1, "one " * 30), (2, "two " * 30)], [(i, f"{i} " * 50) for i in range(40)] + [(None, "x" * 70)], [(None, f"{i} " * 40) for i in range(60)] + [(None, "again")] * 5 + [(i, f"{i} " * 50) for i in range(9)]):
+        hashed = {r.t: r.h for r in spark.createDataFrame([(t,) for _, t in rows], "t string").select("t", F.xxhash64("t").alias("h")).collect()}
+        order = sorted(rows, key=lambda r: (r[0] is not None, hashed[r[1]] if r[0] is None else r[0], r[1] or ""))
         want = [(i, hashlib.sha256(chunks.edited(t or "", order[(n + 1) % len(order)][1] or "")[0].encode()).hexdigest()) for n, (i, t) in enumerate(order)]
         df = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS).repartition(2)
-        for parts in (1, 4):
+        for parts in (1, 4, 30):
             assert sorted(((r.doc_id, r.edited_sha256) for r in chunks.with_edits(df, parts).collect()), key=str) == sorted(want, key=str)
