@@ -14,7 +14,9 @@ All positions of a text are hashed at once: the sum over 32 bytes is built by do
 blocks with 31 bytes of lead, so memory is bounded for texts of any length.
 
 Defined results: null is the empty text; an empty text's fingerprint is the empty string; it
-is contained in anything, and wholly like itself (1.0), while no other text is like it (0.0).
+is contained in anything, and wholly like itself (1.0), while no other text is like it (0.0);
+null ids come first, in order of a hash of their text, and rows of equal id stand in order of
+text; an empty table gives an empty table; other columns, whatever their names, are left out.
 """
 
 from __future__ import annotations
@@ -195,8 +197,8 @@ SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 
 def with_edits(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """Each text's fingerprint beside that of its edit by the next document's, in order of id (then
-    text): rows of SCHEMA. A table of one row is its own next."""
+    """Each text's fingerprint beside that of its edit by the next document's, in the order of
+    in_order(): rows of SCHEMA. A table of one row is its own next."""
     spark = docs.sparkSession
     parts = parts or 8 * shuffle_parts(spark)
     dealt = in_order(docs, parts).repartition(shuffle_parts(spark), "part").sortWithinPartitions("part", "halo", F.col("doc_id").asc_nulls_first(), "h", "text")
