@@ -174,7 +174,7 @@ def lookup_registry(spark, sf_dir):
 # ---------------------------------------------------------------- writes
 
 
-@query("SELECT * FROM (VALUES (1, 'ann', 'admin', NULL), (2, 'bob', 'reader', NULL), (3, 'eve', 'reader', NULL), (10, 'kim', 'admin', 'x'), (11, 'lee', 'reader', NULL)) t(id, name, role, note)")
+@query("SELECT id::BIGINT AS id, name, role, note FROM (VALUES (1, 'ann', 'admin', NULL), (2, 'bob', 'reader', NULL), (3, 'eve', 'reader', NULL), (10, 'kim', 'admin', 'x'), (11, 'lee', 'reader', NULL)) t(id, name, role, note)")
 def create_defaults(spark, sf_dir):
     """Defaults of what isn't given, and keys counted on from the greatest."""
     r = _people(spark)
@@ -339,7 +339,7 @@ def index_list(spark, sf_dir):
     return _frame(spark, rows, "name string, is_unique boolean, auto boolean, columns string, predicate string")
 
 
-@query("SELECT * FROM (VALUES (1, 'ann', 'n1'), (2, 'bob', NULL), (3, 'eve', NULL), (4, 'kim', 'n2')) t(id, name, note)")
+@query("SELECT id::BIGINT AS id, name, note FROM (VALUES (1, 'ann', 'n1'), (2, 'bob', NULL), (3, 'eve', NULL), (4, 'kim', 'n2')) t(id, name, note)")
 def index_unique(spark, sf_dir):
     """A unique index over the rows that have a note: two without one are let in, two alike aren't."""
     r = _people(spark)
@@ -505,7 +505,7 @@ def vec_search(spark, sf_dir):
     return _frame(spark, [(x["rowid"], x["doc"]["label"]) for x in out], "rowid bigint, label int")
 
 
-@query("SELECT * FROM (VALUES ('b', 0.0), ('c', 1.0)) t(rowid, distance)")
+@query("SELECT rowid, distance::DOUBLE AS distance FROM (VALUES ('b', 0.0), ('c', 1.0)) t(rowid, distance)")
 def vec_string_keys(spark, sf_dir):
     ws = workspace(spark, sf_dir, items=spark.createDataFrame([("a",), ("b",), ("c",)], "name string"))
     r = Repository(ws, "items", [Vectors(2, "l2", key=T.StringType())])
