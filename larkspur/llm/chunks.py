@@ -124,7 +124,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = [Print(t or "") for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([p.text() for p in prints], pa.string()), pa.array([len(p.data) for p in prints], pa.int64())], ["doc_id", "fingerprint", "n_bytes"])
+            made = [pa.array([p.text() for p in prints], pa.string()), pa.array([len(p.data) for p in prints], pa.int64())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", "fingerprint", "n_bytes"])
 
     return map_arrow(only(docs, doc_id="doc_id", text="text"), run, "doc_id long, fingerprint string, n_bytes long")
 

@@ -102,7 +102,8 @@ def quotas(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most:
         given = F.when(due <= 0, F.lit(0)).when(whole, last["after"]).otherwise(last["before"])
         end = F.when(due <= 0, F.lit(0)).when(whole, last["cell"] + 1).otherwise(last["cell"])
         bound = state["bound"] * (F.lit(1.0) - part) + F.array_max(F.transform(s["cells"], lambda c: c["after"] - c["before"]))
-        return F.struct((state["carry"] + owed * s["total"] - given).alias("carry"), bound.alias("bound"), F.array_append(state["upto"], F.struct(s["b"].alias("b"), end.cast("int").alias("end"))).alias("upto"))
+        upto = F.array_append(state["upto"], F.struct(s["b"].alias("b"), end.cast("int").alias("end")))
+        return F.struct((state["carry"] + owed * s["total"] - given).alias("carry"), bound.alias("bound"), upto.alias("upto"))
 
     start = F.struct(F.lit(0.0).alias("carry"), F.lit(0.0).alias("bound"), F.array().cast("array<struct<b:int,end:int>>").alias("upto"))
     strata = F.coalesce("strata", F.array().cast(per_source.schema["strata"].dataType))

@@ -129,7 +129,8 @@ def sketch(docs: DataFrame, k: int) -> DataFrame:
                 h, first = shingle_sets(part.column("text"), k)
                 registers = sketch_sets(h, first)
                 digest = [hashlib.blake2b(h[a:b].tobytes(), digest_size=16).digest() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(np.diff(first), pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in registers], pa.binary())], ["doc_id", "n_shingles", "digest", "registers"])
+                made = [pa.array(np.diff(first), pa.int64()), pa.array(digest, pa.binary()), pa.array([r.tobytes() for r in registers], pa.binary())]
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), *made], ["doc_id", "n_shingles", "digest", "registers"])
 
     return map_arrow(only(docs, doc_id="doc_id", text="text"), run, SKETCH)
 
@@ -193,7 +194,8 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFra
     """Of pairs (a, b), those whose full sets are similar enough; written."""
     ids = stash(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "near-members", 2 * pairs.count())
     texts, scratch = texts_of(docs, ids)
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+    side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"t{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb")
 
     def run(batches):
         for batch in batches:
@@ -272,7 +274,8 @@ def prefix_stars(members: DataFrame, percent: int) -> DataFrame:
         h, n = np.unique(shingles(t)[0], return_counts=True)
         order, cuts = _cuts(h, buckets)
         h, n = h[order], n[order].astype(np.uint32)
-        return _packed({"bucket": [i for i, _, _ in cuts], "block": [key[0].as_py()] * len(cuts), "hashes": [h[x:y].tobytes() for _, x, y in cuts], "counts": [n[x:y].tobytes() for _, x, y in cuts]}, counted)
+        told = {"hashes": [h[x:y].tobytes() for _, x, y in cuts], "counts": [n[x:y].tobytes() for _, x, y in cuts]}
+        return _packed({"bucket": [i for i, _, _ in cuts], "block": [key[0].as_py()] * len(cuts)} | told, counted)
 
     def count(key, t):
         h, n = (np.frombuffer(b"".join(t.column(c).to_pylist()), d) for c, d in (("hashes", np.uint64), ("counts", np.uint32)))
@@ -479,7 +482,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     sketches = stash(sketch(docs, k), "near-sketches")
     sets = sketches.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = stash(sets.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "near-classes")
-    classes = sets.join(reps.select(F.col("digest").alias("_d"), "rep"), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_d"))).select("rep", "n_shingles", "registers").dropDuplicates(["rep", "registers"])
+    own = (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("_d"))
+    classes = sets.join(reps.select(F.col("digest").alias("_d"), "rep"), own).select("rep", "n_shingles", "registers").dropDuplicates(["rep", "registers"])
     classes = stash(classes, "near-registers")
     found = links(docs, classes, k, percent)
     labels = components(functools.reduce(DataFrame.unionByName, found))

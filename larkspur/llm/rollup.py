@@ -143,7 +143,9 @@ def op4_token_rollups(spark, sf_dir):
     docs = only(table(spark, sf_dir, "documents"), source="source", lang="lang", text="text")
     text = F.coalesce("text", F.lit(""))
     gap = r"[^\x20\x09-\x0D]+"
-    counts = stash(docs.select("source", "lang", F.regexp_count(text, F.lit(gap)).alias("words"), F.regexp_count(text, F.lit(r"[A-Za-z]+|[0-9]+")).alias("runs"), F.octet_length(text).alias("bytes")), "token-counts")
+    runs = F.regexp_count(text, F.lit(r"[A-Za-z]+|[0-9]+"))
+    counts = docs.select("source", "lang", F.regexp_count(text, F.lit(gap)).alias("words"), runs.alias("runs"), F.octet_length(text).alias("bytes"))
+    counts = stash(counts, "token-counts")
     at = lambda version, n: side(F.col("source"), F.col("lang"), F.lit(version), F.col(n))
     none = F.lit(None).cast(SIDE)
     change = lambda old, new: counts.select(old.alias("old"), new.alias("new"))

@@ -170,8 +170,9 @@ def _sender(window: int, length: int, buckets: int):
             # Ids take as few bytes as they need beyond the smallest.
             small = (mine.astype(np.uint64) - np.uint64(base % 2**64)) if len(mine) else mine
             kind = np.uint32 if len(small) and int(small.max()) < 2**32 else np.uint64
-            for c, v in (("bucket", bucket), ("block", key[0].as_py()), ("hashes", hashes[own].tobytes()), ("twice", np.packbits(twice[own]).tobytes()), ("ids", small.astype(kind).tobytes()), ("base", base)):
-                out[c].append(v)
+            row = (bucket, key[0].as_py(), hashes[own].tobytes(), np.packbits(twice[own]).tobytes(), small.astype(kind).tobytes(), base)
+            for column, v in zip(out.values(), row, strict=True):
+                column.append(v)
         return pa.table([pa.array(out[c], t) for c, t in zip(out, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.int64()), strict=True)], list(out))
 
     return run

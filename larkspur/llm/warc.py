@@ -156,7 +156,9 @@ def _read_record(inflate: Callable[[int], bytes], block: int, payloads: bool = T
     if kind == "response" and (payload.hexdigest() != digest or n_payload != told):
         raise WarcError("the payload's digest or length differs")
     number = lambda k: int(x) if (x := fields.get(k, "").removeprefix("<urn:page:").removesuffix(">")) else None
-    return {"page_id": number("warc-record-id"), "payload_bytes": told, "payload_digest": digest, "record_type": kind, "refers_to": number("warc-refers-to"), "url": fields["warc-target-uri"], "error": None, "payload": b"".join(parts) if hold else None}
+    out = {"page_id": number("warc-record-id"), "payload_bytes": told, "payload_digest": digest, "record_type": kind}
+    out |= {"refers_to": number("warc-refers-to"), "url": fields["warc-target-uri"], "error": None}
+    return out | {"payload": b"".join(parts) if hold else None}
 
 
 def _failed(error: Exception) -> dict:
