@@ -6,13 +6,14 @@ floor(rate) times, plus one copy by a hash of seed and document id whose probabi
 rate's fraction.
 
 The copies of a source are drawn in strata of sizes, powers of two, from the longest documents
-to the shortest. A stratum owes the fraction of its tokens, plus what the strata before it
-gave short or over; it takes its documents in order of their hash until that is met. The last
-cell of hashes, of CELLS, is taken or not by a hash of source and stratum, with the probability
-that makes its tokens as many as owed on average. What is handed down is scaled, by sizes alone
-and not by what was drawn, to what the next stratum can surely make good: so a document's own
-probability stays the fraction, while errors don't add up over a source but shrink to about
-those of its shortest documents. Sums by source, stratum and cell are all that is shuffled.
+to the shortest. A stratum takes its documents in order of their hash, as many as its share of
+them says; the last cell of hashes, of CELLS, is taken or not by a hash of source and stratum, so
+that they are as many on average. The share is the fraction, plus what the strata before gave
+short or over in tokens: on average nothing, so a document's own probability stays the fraction,
+while errors don't add up over a source but are made good by its shorter documents. What is
+handed down is scaled, by sizes alone and not by what was drawn, to what the next stratum can
+make good; the share is cut to 0 and 1 in the rare case that it can't. Sums by source, stratum and
+cell are all that is shuffled.
 
 Defined results: a null text has size 0; a null source is a source of its own, ordered
 last; sources without words have target 0 and no copies; documents without words are drawn one
@@ -81,31 +82,35 @@ def _fraction(target: Column, size: Column) -> Column:
 def quotas(sizes: DataFrame, weights=(3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, seed: str = "mix") -> DataFrame:
     """(source, source_size, target, upto) of rows (source, size, u): one row a source. upto maps a
     stratum to the first cell of hashes that gets no more copy."""
-    sums = sizes.groupBy("source", stratum(F.col("size")).alias("b"), F.floor(F.col("u") * CELLS).cast("int").alias("cell")).agg(F.sum("size").alias("size"))
-    sums = stash(sums, "mix-sums")
+    size, cell = F.col("size"), F.floor(F.col("u") * CELLS).cast("int")
+    figures = [F.sum(size).alias("size"), F.count(size).alias("n"), F.sum(size * size).alias("sq"), F.max(size).alias("top")]
+    sums = stash(sizes.groupBy("source", stratum(size).alias("b"), cell.alias("cell")).agg(*figures), "mix-sums")
     by_cell = Window.partitionBy("source", "b").orderBy("cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cells = sums.where("b >= 0").withColumn("after", F.sum("size").over(by_cell)).withColumn("before", F.col("after") - F.col("size"))
-    strata = cells.groupBy("source", "b").agg(F.sort_array(F.collect_list(F.struct("cell", "before", "after"))).alias("cells"), F.max("after").alias("total"))
-    per_source = strata.groupBy(F.col("source").alias("_source")).agg(F.sort_array(F.collect_list(F.struct("b", "total", "cells")), False).alias("strata"))
+    cells = sums.where("b >= 0").withColumns({"after": F.sum("n").over(by_cell), "after_size": F.sum("size").over(by_cell)})
+    each = F.struct("cell", (F.col("after") - F.col("n")).alias("before"), "after", (F.col("after_size") - size).alias("before_size"), "after_size")
+    whole = [F.sum("n").alias("n"), F.sum("size").alias("total"), F.sum("sq").alias("sq"), F.max("top").alias("top")]
+    strata = cells.groupBy("source", "b").agg(F.sort_array(F.collect_list(each)).alias("cells"), *whole)
+    per_source = strata.groupBy(F.col("source").alias("_source")).agg(F.sort_array(F.collect_list(F.struct("b", "n", "total", "sq", "top", "cells")), False).alias("strata"))
     targets = source_targets(sums, weights, share, most)
     joined = targets.join(per_source, targets["source"].eqNullSafe(per_source["_source"]), "left")
     owed = _fraction(F.col("target"), F.col("source_size"))
+    one, zero = F.lit(1.0), F.lit(0.0)
 
     def step(state: Column, s: Column) -> Column:
-        # bound: of the carry, whatever was drawn; room: what this stratum can give or save beyond its own share.
-        room = F.least(owed, F.lit(1.0) - owed) * s["total"]
-        part = F.when(state["bound"] > room, room / state["bound"]).otherwise(F.lit(1.0))
-        due = state["carry"] * part + owed * s["total"]
+        # bound: of the carry, about, whatever was drawn; room: what this stratum can give or save beyond its own share.
+        room = F.least(owed, one - owed) * s["total"]
+        part = F.when(state["bound"] > room, room / state["bound"]).otherwise(one)
+        due = F.least(F.greatest(owed + state["carry"] * part / s["total"], zero), one) * s["n"]
         last = F.element_at(F.filter(s["cells"], lambda c: c["before"] < due), -1)
         chance = (due - last["before"]) / (last["after"] - last["before"])
-        whole = draw(F.concat(F.coalesce("source", F.lit("null")), F.lit("/"), s["b"].cast("string")), seed) < chance
-        given = F.when(due <= 0, F.lit(0)).when(whole, last["after"]).otherwise(last["before"])
-        end = F.when(due <= 0, F.lit(0)).when(whole, last["cell"] + 1).otherwise(last["cell"])
-        bound = state["bound"] * (F.lit(1.0) - part) + F.array_max(F.transform(s["cells"], lambda c: c["after"] - c["before"]))
+        every = draw(F.concat(F.coalesce("source", F.lit("null")), F.lit("/"), s["b"].cast("string")), seed) < chance
+        given = F.when(due <= 0, F.lit(0)).when(every, last["after_size"]).otherwise(last["before_size"])
+        end = F.when(due <= 0, F.lit(0)).when(every, last["cell"] + 1).otherwise(last["cell"])
+        spread = s["top"] * (one + s["n"] / F.lit(64.0)) + F.sqrt(F.greatest(s["sq"] - s["total"] * one * s["total"] / s["n"], zero))
         upto = F.array_append(state["upto"], F.struct(s["b"].alias("b"), end.cast("int").alias("end")))
-        return F.struct((state["carry"] + owed * s["total"] - given).alias("carry"), bound.alias("bound"), upto.alias("upto"))
+        return F.struct((state["carry"] + owed * s["total"] - given).alias("carry"), (state["bound"] * (one - part) + spread).alias("bound"), upto.alias("upto"))
 
-    start = F.struct(F.lit(0.0).alias("carry"), F.lit(0.0).alias("bound"), F.array().cast("array<struct<b:int,end:int>>").alias("upto"))
+    start = F.struct(zero.alias("carry"), zero.alias("bound"), F.array().cast("array<struct<b:int,end:int>>").alias("upto"))
     strata = F.coalesce("strata", F.array().cast(per_source.schema["strata"].dataType))
     upto = F.aggregate(strata, start, step, lambda s: F.map_from_entries(s["upto"]))
     return stash(joined.select("source", "source_size", "target", upto.alias("upto")), "mix-quotas")
@@ -158,20 +163,21 @@ l AS (SELECT *, (budget - coalesce(sum(cap) OVER (ORDER BY fill, source NULLS LA
         / sum(w) OVER (ORDER BY fill, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM c),
 t AS (SELECT source, source_size, least(cap, coalesce((SELECT max(level) FROM l WHERE level <= fill) * w, cap)) AS target FROM l),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS rate FROM t),
-h AS (SELECT source, b, cell, sum(size)::BIGINT AS size FROM p WHERE size > 0 GROUP BY ALL),
-e AS (SELECT source, b, cell, size, sum(size) OVER (PARTITION BY source, b ORDER BY cell)::BIGINT AS after FROM h),
-g AS (SELECT source, b, sum(size)::BIGINT AS total, max(size)::BIGINT AS cell, row_number() OVER (PARTITION BY source ORDER BY b DESC) AS k,
+h AS (SELECT source, b, cell, sum(size)::BIGINT AS size, count(*)::BIGINT AS n, sum(size * size)::DOUBLE AS sq, max(size) AS top FROM p WHERE size > 0 GROUP BY ALL),
+e AS (SELECT *, sum(n) OVER (PARTITION BY source, b ORDER BY cell)::BIGINT AS after, sum(size) OVER (PARTITION BY source, b ORDER BY cell)::BIGINT AS after_size FROM h),
+g AS (SELECT source, b, sum(n)::DOUBLE AS n, sum(size)::DOUBLE AS total, sum(sq) AS sq, max(top)::DOUBLE AS top, row_number() OVER (PARTITION BY source ORDER BY b DESC) AS k,
         ('0x' || substr(sha256('mix:' || coalesce(source, 'null') || '/' || b::VARCHAR), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS v FROM h GROUP BY source, b),
 q AS (
   SELECT source, 0::BIGINT AS k, -1 AS b, 0 AS upto, 0.0::DOUBLE AS carry, 0.0::DOUBLE AS bound, rate - floor(rate) AS owed FROM r
   UNION ALL
   SELECT source, k, b, CASE WHEN due <= 0 THEN 0 WHEN v < chance THEN x.cell + 1 ELSE x.cell END,
-    carry + owed * total - CASE WHEN due <= 0 THEN 0 WHEN v < chance THEN x.after ELSE x.before END, bound * (1.0::DOUBLE - part) + cell, owed
+    carry + owed * total - CASE WHEN due <= 0 THEN 0 WHEN v < chance THEN x.after_size ELSE x.before_size END,
+    bound * (1.0::DOUBLE - part) + (top * (1.0::DOUBLE + n / 64.0::DOUBLE) + sqrt(greatest(sq - total * total / n, 0.0::DOUBLE))), owed
   FROM (SELECT *, (due - x.before) / (x.after - x.before) AS chance FROM (
-    SELECT *, (SELECT max({'cell': e.cell, 'before': e.after - e.size, 'after': e.after}) FROM e
-       WHERE e.source IS NOT DISTINCT FROM o.source AND e.b = o.b AND e.after - e.size < o.due) AS x
-    FROM (SELECT *, carry * part + owed * total AS due FROM (
-      SELECT q.source, q.carry, q.bound, q.owed, g.k, g.b, g.v, g.total, g.cell,
+    SELECT *, (SELECT max({'cell': e.cell, 'before': e.after - e.n, 'after': e.after, 'before_size': e.after_size - e.size, 'after_size': e.after_size}) FROM e
+       WHERE e.source IS NOT DISTINCT FROM o.source AND e.b = o.b AND e.after - e.n < o.due) AS x
+    FROM (SELECT *, least(greatest(owed + carry * part / total, 0.0::DOUBLE), 1.0::DOUBLE) * n AS due FROM (
+      SELECT q.source, q.carry, q.bound, q.owed, g.k, g.b, g.v, g.n, g.total, g.sq, g.top,
         CASE WHEN q.bound > least(q.owed, 1.0::DOUBLE - q.owed) * g.total THEN least(q.owed, 1.0::DOUBLE - q.owed) * g.total / q.bound ELSE 1.0::DOUBLE END AS part
       FROM q JOIN g ON g.source IS NOT DISTINCT FROM q.source AND g.k = q.k + 1)) o)))
 SELECT p.doc_id, p.size, r.source_size, r.target::DOUBLE AS target,

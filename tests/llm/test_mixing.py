@@ -61,16 +61,13 @@ def test_few_documents_of_very_different_sizes(spark):
 
 
 def test_a_copy_has_the_probability_of_the_fraction(spark):
-    sizes = [1, 2, 3, 5, 8, 9, 30, 70, 71, 90, 500, 4000]
-    docs = spark.createDataFrame([(i, "w " * n, "en", "s" if i % 2 else "t", 0) for i, n in enumerate(sizes)], DOCS).cache()
-    n, seen, rates = 60, dict.fromkeys(range(len(sizes)), 0), {}
-    for seed in range(n):
-        for r in mixing.mix(docs, weights=(1.0, 3.0), share=0.9, seed=f"s{seed}").collect():
-            seen[r.doc_id] += r.copies
-            rates[r.doc_id] = r.target / r.source_size
-    for i, rate in rates.items():
-        f = rate % 1
-        assert abs(seen[i] / n - rate) < 4 * (f * (1 - f) / n) ** 0.5 + 1e-9, (i, seen[i] / n, rate)
+    """Many sources of the same sizes, one document of which outweighs the others: each draws anew."""
+    sizes, n = [1, 2, 3, 5, 8, 9, 30, 70, 71, 90, 500, 4000], 300
+    docs = spark.createDataFrame([(s * 100 + i, "w " * size, "en", f"s{s}", 0) for s in range(n) for i, size in enumerate(sizes)], DOCS)
+    for share in (0.3, 1.74):
+        out = mixing.mix(docs.repartition(4), weights=(1.0,), share=share).groupBy("size").agg(F.avg("copies").alias("mean"), F.count("size").alias("n")).collect()
+        sigma = (share % 1 * (1 - share % 1) / n) ** 0.5
+        assert len(out) == len(sizes) and all(r.n == n and abs(r.mean - share) < 4 * sigma for r in out), out
 
 
 def test_nulls_and_no_rows(spark, monkeypatch):
