@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,7 +43,7 @@ def stash(df: DataFrame, label: str, most_rows: int | None = None) -> DataFrame:
     path = fresh_folder(spark, label)
     if most_rows is not None and (files := max(1, -(-most_rows // FILE_ROWS))) < shuffle_parts(spark):
         df = df.coalesce(files)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._stash = path
     return out
@@ -55,6 +56,13 @@ def discard(*stashed: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Has the driver collect its garbage: Spark removes the shuffle files of a finished job only when
+    nothing refers to its plan any more, which may otherwise take half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

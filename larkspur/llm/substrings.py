@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from larkspur.llm.common import only, shuffle_parts, stash, table, words
+from larkspur.llm.common import let_go, only, shuffle_parts, stash, table, words
 from larkspur.llm.wordhash import Words, mixed, pieces, words_of
 from larkspur.sources.shipping import ship
 
@@ -286,6 +286,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), lea
         whole = [F.lit(0).cast("long").alias("n_removed"), F.array().cast("array<struct<start:int,end:int>>").alias("removed")]
         done.append(rung.where("alive IS NULL").select(*rows.columns, "n_words", *whole))
         left = rung.where("alive IS NOT NULL")
+        del sent, answers, both
+        let_go(spark)
         if left.isEmpty():
             break
     return functools.reduce(DataFrame.unionByName, done)
