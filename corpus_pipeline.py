@@ -7,9 +7,11 @@ folder as Parquet and rereads it.
 
 Defined results: only the five columns of documents are read; other columns, whatever their
 names, are left out; an empty table gives an empty table; null texts fail the quality rules, and
-texts of any length are taken whole. Verdicts are of rows. A row whose id is null or another row's too is judged by a
-number of its own, beyond all ids, so that of a group of near duplicates a row with an id of its
-own stays, if there is one, and the smallest such id.
+texts of any length are taken whole. Verdicts are of rows. A row whose id is null or another
+row's too is judged by a number of its own, beyond all ids, so that of a group of near duplicates
+a row with an id of its own stays, if there is one, and the smallest such id. The later stages
+take rows of equal ids in order of their text; null sources are a source, null languages a group
+of their own.
 """
 
 from __future__ import annotations
