@@ -7,9 +7,9 @@ if its parts do, so only what repeats at one length is extended to the next. Eac
 job of its own: it reads the documents that still have candidates, with a bit per word for
 those, and writes them back; where no candidate survives, the ladder ends.
 
-Below the top a window stands in by one part: the one with the least hash among its parts of
-that length (equal windows choose equal parts), so a rung looks at an eighth or a sixth of all
-positions.
+Below the top a window stands in by two parts: those with the least and the greatest hash among
+its parts of that length (equal windows choose equal parts), so a rung looks at a quarter or a
+third of all positions; a window of which either doesn't repeat is no candidate.
 
 Documents are dealt into blocks by a hash of their id. On each rung a block sends its
 distinct part hashes, packed, to buckets by hash; a bucket answers each block with one bit
@@ -92,20 +92,24 @@ class Block:
         else:
             self.alive = [w.whole(window) for w in self.words]
 
-    def _stand_in(self, w: Words, alive: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The least part hash of each window, and which parts stand in for a candidate."""
-        h = w.windows(self.length)
-        m = self.window - self.length + 1
-        least = _slid(h, m, np.minimum, np.uint64(2**64 - 1))
-        most = _slid(np.where(alive, least, np.uint64(0)), m, np.maximum, np.uint64(0), back=True)
-        return least, (most == h) & (h != 0)
+    def _stand_in(self, w: Words, alive: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """The least and the greatest part hash of each window, and which parts stand in for a candidate."""
+        h, m = w.windows(self.length), self.window - self.length + 1
+        chosen, stands = [], np.zeros(len(h), bool)
+        for turned in (False, True):
+            part = ~h if turned else h
+            least = _slid(part, m, np.minimum, np.uint64(2**64 - 1))
+            most = _slid(np.where(alive, least, np.uint64(0)), m, np.maximum, np.uint64(0), back=True)
+            stands |= (most == part) & (part != 0)
+            chosen.append(~least if turned else least)
+        return chosen, stands
 
     def sent(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Distinct hashes of this rung, whether each repeats here, and the smallest id that has it."""
         none = np.empty(0, np.uint64)
         if self.length < self.window:
             found = [self._stand_in(w, a) for w, a in zip(self.words, self.alive, strict=True)]
-            self.least = [x for x, _ in found]
+            self.chosen = [x for x, _ in found]
             h = np.concatenate([none, *(w.windows(self.length)[s] for w, (_, s) in zip(self.words, found, strict=True))])
             hashes, n = np.unique(h, return_counts=True)
             return hashes, n > 1, np.empty(0, np.int64)
@@ -117,11 +121,12 @@ class Block:
         return hashes, np.zeros(len(hashes), bool), ids[np.searchsorted(self.first, self.earliest, "right") - 1]
 
     def survivors(self, repeated: np.ndarray) -> list[bytes | None]:
-        """Of each document: the bits of the candidates whose part is among the repeated hashes, if any."""
+        """Of each document: the bits of the candidates whose parts are among the repeated hashes, if any."""
         out = []
-        for w, alive, least in zip(self.words, self.alive, self.least, strict=True):
-            at = np.minimum(np.searchsorted(repeated, least), max(len(repeated) - 1, 0))
-            stays = alive & (repeated[at] == least) if len(repeated) else np.zeros(len(alive), bool)
+        for w, alive, chosen in zip(self.words, self.alive, self.chosen, strict=True):
+            stays = alive if len(repeated) else np.zeros(len(alive), bool)
+            for part in chosen if len(repeated) else ():
+                stays = stays & (repeated[np.minimum(np.searchsorted(repeated, part), len(repeated) - 1)] == part)
             docs = (stays[a:b] for a, b in zip(w.first[:-1], w.first[1:], strict=True))
             out += [np.packbits(x).tobytes() if x.any() else None for x in docs]
         return out
@@ -274,8 +279,8 @@ def dedup(docs: DataFrame, window: int = WINDOW, keep: tuple[str, ...] = (), lea
     key = F.coalesce("doc_id", F.xxhash64("text"))  # null ids don't meet in one block
     left, done = rows.select(F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int").alias("block"), *rows.columns), []
     for length in ladder(window, least):
-        # At most 8 bytes for each of total / 5 words, a sixth of them below the top.
-        buckets = max(parts, -(-(total * 8 // (5 if length == window else 30)) // BUCKET_BYTES))
+        # At most 8 bytes for each of total / 5 words, a third of them below the top.
+        buckets = max(parts, -(-(total * 8 // (5 if length == window else 15)) // BUCKET_BYTES))
         sent = left.groupBy("block").applyInArrow(_sender(window, length, buckets), _SENT)
         answers = sent.groupBy("bucket").applyInArrow(_answerer(length == window), _ANSWER)
         both = left.groupBy("block").cogroup(answers.groupBy("block"))
