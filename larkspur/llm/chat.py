@@ -3,6 +3,7 @@
 A record is JSON. Its schema, as the set of nested field paths without their types, is
 hashed; the hash selects a declarative mapping out of LAYOUTS, which names the fields that
 become turns. Records whose hash no mapping has are kept aside (layout null, no turns).
+Rows by turn become records too; which layout one of them has is read from the fields it holds.
 
 Only a record's skeleton, its structure with empty strings, becomes a variant, as a variant
 holds 128 MiB and a string in it 20 M characters at most. Texts stay beside it in columns.
@@ -23,10 +24,9 @@ of their own; a record without turns is formatted as <s></s>, without spans.
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm.common import let, only, table
 
@@ -40,19 +40,20 @@ LAYOUTS = {
     "messages": (("messages[].role", "messages[].content"), ("messages", "role", "content")),
     "conversations": (("conversations[].from", "conversations[].value"), ("conversations", "from", "value")),
     "dialog": (("dialog.turns[].speaker.role", "dialog.turns[].text"), ("dialog.turns", "speaker.role", "text")),
+    "turns": (("turns[].role", "turns[].text"), ("turns", "role", "text")),
 }
 #: The values of all layouts, as from_json() reads them.
 FIELDS = (
     "prompt string, completion string, question string, answer string, instruction string, input string, output string, "
     "messages array<struct<role:string,content:string>>, conversations array<struct<from:string,value:string>>, "
-    "dialog struct<turns:array<struct<speaker:struct<role:string>,text:string>>>"
+    "dialog struct<turns:array<struct<speaker:struct<role:string>,text:string>>>, turns array<struct<role:string,text:string>>"
 )
 #: A skeleton of more bytes raises; as a variant it might not fit.
 SKELETON_BYTES = 64 << 20
 #: Spans that are cut from the text itself; more are cut from a wide copy, of texts up to so many bytes.
 FEW_SPANS, MOST_WIDE = 32, 128 << 20
-#: Names of the same role in other layouts.
-ROLES = {"human": "user", "gpt": "assistant", "bot": "assistant"}
+#: Names of the same role in other layouts than that of rows by turn, whose roles are taken as they are.
+ROLES, AS_THEY_ARE = {"human": "user", "gpt": "assistant", "bot": "assistant"}, "turns"
 
 
 def _tree(paths) -> dict:
@@ -108,12 +109,15 @@ def _at(value: Column, path: str) -> Column:
     return value
 
 
-def _turns(fields: Column, mapping) -> Column:
-    """array<struct<role, text>> of a record's fields by one mapping."""
+def _turns(fields: Column, layout: str) -> Column:
+    """array<struct<role, text>> of a record's fields by a layout's mapping."""
+    mapping = LAYOUTS[layout][1]
     if isinstance(mapping, list):
         return F.array(*[F.struct(F.lit(role).alias("role"), F.coalesce(_at(fields, at), F.lit("")).alias("text")) for role, at in mapping])
     at, role, text = mapping
-    return F.transform(_at(fields, at), lambda x: F.struct(F.coalesce(_at(x, role), F.lit("")).alias("role"), F.coalesce(_at(x, text), F.lit("")).alias("text")))
+    same = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
+    named = lambda r: r if layout == AS_THEY_ARE else F.coalesce(F.try_element_at(same, r), r)
+    return F.transform(_at(fields, at), lambda x: F.struct(named(F.coalesce(_at(x, role), F.lit(""))).alias("role"), F.coalesce(_at(x, text), F.lit("")).alias("text")))
 
 
 def canonical_turns(records: DataFrame) -> DataFrame:
@@ -131,14 +135,12 @@ def canonical_turns(records: DataFrame) -> DataFrame:
     v = v.withColumn("fp", fingerprint(F.col("v")))
     layout, turns = F.raise_error(F.lit("a record of ours has no layout")) if own else F.lit(None), F.array()
     layout, turns = layout.cast("string"), turns.cast("array<struct<role:string,text:string>>")
-    for name, (paths, mapping) in LAYOUTS.items():
+    for name, (paths, _) in LAYOUTS.items():
         fits = F.col("fp") == F.xxhash64(F.lit(_canonical(paths)))
-        layout, turns = F.when(fits, name).otherwise(layout), F.when(fits, _turns(F.col("fields"), mapping)).otherwise(turns)
+        layout, turns = F.when(fits, name).otherwise(layout), F.when(fits, _turns(F.col("fields"), name)).otherwise(turns)
     if own:  # turns alone may be asked for
         turns = F.when(layout.isNotNull(), turns)
-    same = F.create_map(*[F.lit(x) for kv in ROLES.items() for x in kv])
-    named = F.transform(turns, lambda t: F.struct(F.coalesce(F.try_element_at(same, t["role"]), t["role"]).alias("role"), t["text"].alias("text")))
-    return v.select("conv_id", layout.alias("layout"), named.alias("turns"))
+    return v.select("conv_id", layout.alias("layout"), turns.alias("turns"))
 
 
 def escape(text: Column) -> Column:
@@ -197,30 +199,38 @@ def read_back(formatted: DataFrame) -> DataFrame:
 def records_of(conversations: DataFrame) -> DataFrame:
     """Rows by turn as records (conv_id, record: skeleton, fields): exchanges of user and assistant
     in the prompt layout, those with a system turn first in the instruction layout, all others as
-    messages."""
+    turns. Only a record's own fields are filled; the skeleton is theirs."""
     rows = only(conversations, conv_id="conv_id", turn="turn", role=F.coalesce(conversations["role"], F.lit("")), text=F.coalesce(conversations["text"], F.lit("")))
     grouped = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("t"))
-    grouped = grouped.withColumn("kind", F.when(_roles("user", "assistant"), "prompt").when(_roles("system", "user", "assistant"), "instruction_input").otherwise("messages"))
-    record = F.create_map(*[F.lit(x) for kind in ("prompt", "instruction_input", "messages") for x in (kind, _skeleton_of(LAYOUTS[kind][0]))])
+    grouped = grouped.withColumn("kind", F.when(_roles("user", "assistant"), "prompt").when(_roles("system", "user", "assistant"), "instruction_input").otherwise("turns"))
     text = lambda kind, i: F.when(F.col("kind") == kind, F.get("t", F.lit(i))["text"])
-    messages = F.when(F.col("kind") == "messages", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("content"))))
-    of = {"prompt": text("prompt", 0), "completion": text("prompt", 1), "messages": messages}
+    turns = F.when(F.col("kind") == "turns", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["text"].alias("text"))))
+    of = {"prompt": text("prompt", 0), "completion": text("prompt", 1), "turns": turns}
     of |= {name: text("instruction_input", i) for i, name in enumerate(("instruction", "input", "output"))}
     fields = [of.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in (x.split(" ") for x in FIELDS.split(", "))]
-    return grouped.select("conv_id", record[F.col("kind")].alias("record"), F.struct(*fields).alias("fields"))
+    held = grouped.select("conv_id", F.struct(*fields).alias("fields"))
+    return held.select("conv_id", skeleton_of(F.col("fields"), held.schema["fields"].dataType).alias("record"), "fields")
 
 
 def _roles(*roles: str) -> Column:
     return F.col("t.role") == F.array(*[F.lit(r) for r in roles])
 
 
-def _skeleton_of(paths) -> str:
-    """The JSON skeleton of a layout's field paths."""
+def skeleton_of(fields: Column, kind: T.StructType) -> Column:
+    """The JSON skeleton of the fields that a struct holds: those that aren't null. A list of objects
+    has one, with the fields that any of them has."""
 
-    def fill(node: dict):
-        return {name.removesuffix("[]"): [fill(x)] if name.endswith("[]") else fill(x) if x else "" for name, x in node.items()}
+    def held(f: T.StructField, some) -> Column:
+        """some(test): whether an object with f at this place passes."""
+        inner, value = f.dataType, F.lit("")
+        if isinstance(inner, T.StructType):
+            value = F.struct(*[held(x, lambda test: some(lambda o: test(o[f.name]))) for x in inner])
+        elif isinstance(inner, T.ArrayType):
+            one = F.struct(*[held(x, lambda test: some(lambda o: F.exists(o[f.name], test))) for x in inner.elementType])
+            value = F.when(some(lambda o: F.size(o[f.name]) > 0), F.array(one)).otherwise(F.array())
+        return F.when(some(lambda o: o[f.name].isNotNull()), value).alias(f.name)
 
-    return json.dumps(fill(_tree(paths)))
+    return F.to_json(F.struct(*[held(f, lambda test: test(fields)) for f in kind]))
 
 
 def op5_chat_formatting(spark, sf_dir):

@@ -4,8 +4,10 @@ import random
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from larkspur.llm import chat
+from tests import compare
 from tests.llm.helpers import clashing
 
 SHAPE = "conv_id long, turn long, role string, text string"
@@ -120,3 +122,46 @@ def test_a_record_of_ours_without_a_layout_raises(spark):
     records = chat.records_of(spark.createDataFrame([(1, 0, "user", "a")], SHAPE)).withColumn("record", F.lit('{"score": 1}'))
     with pytest.raises(Exception, match="no layout"):
         chat.format_turns(chat.canonical_turns(records)).collect()
+
+
+THREE = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (2, 0, "system", "a"), (2, 1, "user", "b"), (2, 2, "assistant", "c"), (3, 0, "user", None), (3, 1, None, "b")]
+
+
+def test_layouts_of_rows(spark):
+    got = chat.canonical_turns(chat.records_of(spark.createDataFrame(THREE, SHAPE))).collect()
+    assert {r.conv_id: r.layout for r in got} == {1: "prompt", 2: "instruction_input", 3: "turns"}
+
+
+def test_layouts_with_a_field_that_no_row_has_fit_none(spark, monkeypatch):
+    for layout, (paths, mapping) in list(chat.LAYOUTS.items()):
+        monkeypatch.setitem(chat.LAYOUTS, layout, ((*paths, "score"), mapping))
+    for c in (1, 2, 3):
+        with pytest.raises(Exception, match="no layout"):
+            chat.canonical_turns(chat.records_of(spark.createDataFrame([r for r in THREE if r[0] == c], SHAPE))).collect()
+
+
+def test_other_fields_give_other_turns(spark):
+    kind = T.StructType.fromDDL(chat.FIELDS)
+    speaker = {"speaker": {"role": "bot"}, "text": "x"}
+    held = [
+        ({"prompt": "p", "completion": "c"}, "prompt", [("user", "p"), ("assistant", "c")]),
+        ({"instruction": "p", "output": "c"}, "instruction", [("user", "p"), ("assistant", "c")]),
+        ({"turns": [{"role": "gpt", "text": "x"}]}, "turns", [("gpt", "x")]),
+        ({"messages": [{"role": "gpt", "content": "x"}]}, "messages", [("assistant", "x")]),
+        ({"dialog": {"turns": [{"text": "y"}, speaker]}}, "dialog", [("", "y"), ("assistant", "x")]),
+    ]
+    none = [{"prompt": "p"}, {"prompt": "p", "completion": "c", "turns": []}, {"turns": []}, {"turns": [{"role": "a"}]}, {"dialog": {}}, {}]
+    records = spark.createDataFrame([(i, r) for i, r in enumerate([r for r, _, _ in held] + none)], T.StructType().add("conv_id", "long").add("fields", kind))
+    records = records.withColumn("record", chat.skeleton_of(F.col("fields"), kind))
+    got = {r.conv_id: (r.layout, [(t.role, t.text) for t in r.turns]) for r in chat.canonical_turns(records.where(F.col("conv_id") < len(held))).collect()}
+    assert got == {i: (layout, turns) for i, (_, layout, turns) in enumerate(held)}
+    for i in range(len(none)):
+        with pytest.raises(Exception, match="no layout"):
+            chat.canonical_turns(records.where(F.col("conv_id") == len(held) + i)).collect()
+
+
+def test_roles_of_rows_stay_as_they_are(spark, tmp_path):
+    texts = [(1, 0, "human", "a"), (1, 1, "gpt", "b"), (2, 0, "bot", "c"), (3, 0, "user", "d"), (3, 1, "assistant", "e"), (3, 2, "bot", "f"), (4, 0, "human", "g"), (4, 1, "assistant", "h")]
+    spark.createDataFrame(texts, SHAPE).write.parquet(f"{tmp_path}/conversations.parquet")
+    want = compare.rows(compare.connection(str(tmp_path)).execute(chat.SQL).df())
+    assert compare.rows(chat.op5_chat_formatting(spark, str(tmp_path)).toPandas()) == want and len(want[1]) == 5
